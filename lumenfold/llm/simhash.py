@@ -34,7 +34,7 @@ from pyspark.sql import Window
 
 from .common import fold, fresh, mix, quoted, text_chunks, word_hashes, words, written
 
-RADIUS, RATIO, TILE, BLOCK = 20, 0.8, 32768, 2048
+RADIUS, RATIO, TILE, BLOCK = 20, 0.8, 32768, 512
 
 #: A byte's bits as eight lanes of a 64-bit word.
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -86,18 +86,28 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
 def close_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs within the radius. a and b are (n, 2), in order of population count."""
     ca, cb = (np.bitwise_count(x).sum(1).astype(np.int64) for x in (a, b))
+    # one pair of buffers, small enough for a core's cache, serves all blocks
+    diff, count, low = np.empty((BLOCK, BLOCK), np.uint64), np.empty((BLOCK, BLOCK), np.uint8), np.empty((BLOCK, BLOCK), np.bool_)
+    y_first = np.ascontiguousarray(b[:, 0])
     for i in range(0, len(a), BLOCK):
-        x0, x1 = a[i : i + BLOCK, 0], a[i : i + BLOCK, 1]
+        x0, x1 = a[i : i + BLOCK, 0].copy()[:, None], a[i : i + BLOCK, 1]
         for j in range(i if same else 0, len(b), BLOCK):
-            y0, y1 = b[j : j + BLOCK, 0], b[j : j + BLOCK, 1]
+            y0, y1 = y_first[j : j + BLOCK], b[j : j + BLOCK, 1]
             if cb[j] - ca[i : i + BLOCK][-1] > radius or ca[i] - cb[j : j + BLOCK][-1] > radius:
                 continue
-            p, q = np.nonzero(np.bitwise_count(x0[:, None] ^ y0[None, :]) <= radius)
-            if same and i == j:
-                up = p < q
-                p, q = p[up], q[up]
-            d = np.bitwise_count(x0[p] ^ y0[q]).astype(np.int16) + np.bitwise_count(x1[p] ^ y1[q])
+            if len(x0) == BLOCK == len(y0):
+                d0, c0, l0 = diff, count, low
+            else:
+                d0, c0, l0 = (np.empty((len(x0), len(y0)), t.dtype) for t in (diff, count, low))
+            np.bitwise_xor(x0, y0[None, :], out=d0)
+            np.bitwise_count(d0, out=c0)
+            np.less_equal(c0, radius, out=l0)
+            at = np.flatnonzero(l0.ravel())
+            p, q = at // len(y0), at % len(y0)
+            d = c0.ravel()[at].astype(np.int16) + np.bitwise_count(x1[p] ^ y1[q])
             near = d <= radius
+            if same and i == j:
+                near &= p < q
             p, q = p[near] + i, q[near] + j
             fit = np.minimum(na[p], nb[q]) >= ratio * np.maximum(na[p], nb[q])
             if fit.any():
