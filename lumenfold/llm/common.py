@@ -100,7 +100,7 @@ _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = Tru
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
