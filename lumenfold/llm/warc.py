@@ -155,19 +155,22 @@ def entries(edges: DataFrame) -> DataFrame:
     jump spans 2^r splits; it ends when a round reaches nothing new.
     """
     edges = written(edges, "warc-edges")
+    # Columns of paths are small on disk and large in memory: Spark mustn't judge by file size that
+    # a side can be sent whole, so every join is a merge join.
+    meet = lambda a, b, how="inner": a.join(b.hint("merge"), ["path", "off"], how)
     jump = edges.filter("exit >= 0 AND exit < bytes").select("path", "off", "exit")
     reached = written(edges.filter("off = 0").select("path", "off"), "warc-reached")
     while True:
-        step = reached.join(jump, ["path", "off"]).select("path", F.col("exit").alias("off"))
+        step = meet(reached, jump).select("path", F.col("exit").alias("off"))
         # an exit that is no candidate ends its chain: the file is broken there
-        step = step.join(edges.select("path", "off"), ["path", "off"], "left_semi")
-        new = written(step.join(reached, ["path", "off"], "left_anti").distinct(), "warc-new")
+        step = meet(step, edges.select("path", "off"), "left_semi")
+        new = written(meet(step, reached, "left_anti").distinct(), "warc-new")
         if new.isEmpty():
             break
         reached = written(reached.unionByName(new), "warc-reached")
         onward = jump.select("path", F.col("off").alias("exit"), F.col("exit").alias("next"))
-        jump = written(jump.join(onward, ["path", "exit"]).select("path", "off", F.col("next").alias("exit")), "warc-jump")
-    return edges.join(reached, ["path", "off"], "left_semi").select("path", "bytes", "start", "off")
+        jump = written(jump.join(onward.hint("merge"), ["path", "exit"]).select("path", "off", F.col("next").alias("exit")), "warc-jump")
+    return meet(edges, reached, "left_semi").select("path", "bytes", "start", "off")
 
 
 def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
