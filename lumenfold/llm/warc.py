@@ -126,6 +126,12 @@ def exits(edges: dict[int, int], stop: int) -> dict[int, int]:
     return out
 
 
+def _tasks(files: DataFrame, split: int) -> int:
+    """As many tasks as splits: their rows are tiny, so Spark must be told that the work isn't."""
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split))).first()[0] or 1
+    return int(max(1, min(n, 100_000)))
+
+
 def _splits(files: DataFrame, split: int) -> DataFrame:
     starts = F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split).cast("long"))
     return files.filter("bytes > 0").select("path", "bytes", F.explode(starts).alias("start"))
@@ -144,7 +150,7 @@ def chain_edges(files: DataFrame, split: int = SPLIT) -> DataFrame:
                 n = len(found)
                 yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array([size] * n, pa.int64()), pa.array([start] * n, pa.int64()), pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["path", "bytes", "start", "off", "exit"])
 
-    s = _splits(files, split).repartition("path", "start")
+    s = _splits(files, split).repartition(_tasks(files, split), "path", "start")
     return s.mapInArrow(run, "path string, bytes long, start long, off long, exit long")
 
 
@@ -205,7 +211,7 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    starts = entries(chain_edges(files, split)).repartition("path", "start")
+    starts = entries(chain_edges(files, split)).repartition(_tasks(files, split), "path", "start")
     return starts.mapInArrow(run, "path string, off long, page_id long, url string, html string")
 
 
