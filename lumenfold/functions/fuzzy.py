@@ -31,6 +31,29 @@ def distance(a: Column, b: Column, most: int) -> Column:
     return out
 
 
+def _swapped(word: str) -> list[str]:
+    return sorted({word[:i] + word[i + 1] + word[i] + word[i + 2 :] for i in range(len(word) - 1)} - {word})
+
+
+def distance_to(word: str, c: Column, most: int) -> Column:
+    """distance from a word known now: what can be is worked out before the plan is made."""
+    w = F.lit(word)
+    lev = F.levenshtein(w, c, 4)
+    close = F.length(c).between(len(word) - most, len(word) + most)
+    out = F.when(c == w, F.lit(0))
+    once = _swapped(word)
+    if most >= 1:
+        out = out.when(close & (lev.between(0, 1) | c.isin(*once)), F.lit(1))
+    if most >= 2:
+        near = lev.between(0, 2) | c.isin(*{x for v in once for x in _swapped(v)})
+        for v in once:
+            near = near | F.levenshtein(F.lit(v), c, 1).between(0, 1)
+        # a swap of c and one edit more make three plain edits; two swaps are in the list above
+        far = (lev == 3) & F.exists(swaps(c), lambda v: F.levenshtein(w, v, 1).between(0, 1))
+        out = out.when(close & (near | far), F.lit(2))
+    return out
+
+
 def allowed_edits(term: str, similarity: float | None = None) -> int:
     """By length (0 up to 2 letters, 1 up to 5, else 2); a similarity below 1 gives a share of the length; 1 or more are edits."""
     if similarity is None:

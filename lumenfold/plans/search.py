@@ -51,8 +51,7 @@ def term_weight(leaf: Leaf) -> tuple[Callable[[Column], Column], Callable[[Colum
         return (lambda t: t.startswith(start) & t.rlike(wildcard_regex(pattern))), one
     if leaf.kind == "fuzzy":
         most = fuzzy.allowed_edits(word, leaf.similarity)
-        w = F.lit(word)
-        d = lambda t: fuzzy.distance(w, t, most)
+        d = lambda t: fuzzy.distance_to(word, t, most)
         return (
             lambda t: F.length(t).between(len(word) - most, len(word) + most) & d(t).isNotNull(),
             lambda t: 1 - d(t) / F.greatest(F.least(F.length(t), F.lit(len(word))), F.lit(1)),
@@ -66,7 +65,13 @@ def term_weight(leaf: Leaf) -> tuple[Callable[[Column], Column], Callable[[Colum
 def _expanded(index: Index, leaf: Leaf) -> DataFrame:
     match, weight = term_weight(leaf)
     fields = index.scoped(leaf.field)
-    lex = index.lexicon.filter(F.col("field").isin(*fields) & match(F.col("term"))).select("field", "term", "df", weight(F.col("term")).alias("w"))
+    found = match(F.col("term"))
+    if leaf.kind == "fuzzy":
+        # always true, but not to the optimiser: the comparison stays above the lexicon's aggregation, once a
+        # term, where it would else be pushed down, or over the join, to every token; the length alone goes down
+        n = len((analyse(leaf.text) or [leaf.text])[0])
+        found = F.length("term").between(n - 2, n + 2) & F.when(F.monotonically_increasing_id() >= 0, found)
+    lex = index.lexicon.filter(F.col("field").isin(*fields) & found).select("field", "term", "df", weight(F.col("term")).alias("w"))
     # a cheap match is repeated on the postings, where it reaches the scan; fuzzy terms are matched in the lexicon alone
     own = F.col("field").isin(*fields)
     if leaf.kind != "fuzzy":

@@ -98,6 +98,11 @@ def test_fuzzy_distance(spark):
     for r in got:
         d = _distance(r.a, r.b)
         assert (r.d0, r.d1, r.d2) == tuple(d if d <= m else None for m in (0, 1, 2)), r
+    for word in ("abca", "ba", "a", "cabb"):
+        df1 = df.select("a").distinct()
+        for r in df1.select("a", *[fuzzy.distance_to(word, F.col("a"), m).alias(f"d{m}") for m in (0, 1, 2)]).collect():
+            d = _distance(r.a, word)
+            assert (r.d0, r.d1, r.d2) == tuple(d if d <= m else None for m in (0, 1, 2)), (word, r)
     assert [fuzzy.allowed_edits(x) for x in ("ab", "abc", "abcde", "abcdef")] == [0, 1, 1, 2]
     assert fuzzy.allowed_edits("swore", 0.7) == 1 and fuzzy.allowed_edits("x", 2) == 2
 
