@@ -33,11 +33,11 @@ _STOP = np.zeros(256, np.bool_)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
-def sentence_lengths(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each text, tokens and end (in characters) of each sentence.
+def sentence_lengths(data: np.ndarray, off: np.ndarray, capacity: int = CAPACITY) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each text, tokens and end (in characters) of each unit, and whether a hard cut ends it.
 
     Tokens are runs of anything but ASCII white space. A sentence ends after a token that ends
-    in . ! or ?, and where a line ends.
+    in . ! or ?, and where a line ends. A unit is a sentence, or capacity tokens of a longer one.
     """
     solid = ~_SPACE[data]
     tail = solid.copy()
@@ -57,8 +57,12 @@ def sentence_lengths(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.nda
         last = np.flatnonzero(stop[a:b])
         if b > a and (not len(last) or last[-1] != b - a - 1):
             last = np.append(last, b - a - 1)
+        stops, n = last, np.diff(last, prepend=-1)
+        if len(n) and n.max() > capacity:
+            more = [np.arange(e - k + capacity, e, capacity) for e, k in zip(last[n > capacity].tolist(), n[n > capacity].tolist())]
+            last = np.sort(np.concatenate([last, *more]))
         before = chars[off[i] - 1] if off[i] else 0
-        yield np.diff(last, prepend=-1), chars[ends[a + last]] - before
+        yield np.diff(last, prepend=-1), chars[ends[a + last]] - before, ~np.isin(last, stops)
 
 
 def cut_windows(sizes: list[int], penalties: list[int], capacity: int = CAPACITY) -> tuple[int, list[int]]:
@@ -91,20 +95,25 @@ def cut_windows(sizes: list[int], penalties: list[int], capacity: int = CAPACITY
     return best[n], cuts[::-1]
 
 
-def _units(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, sentence sizes and character ends of each text with a token."""
-    for b in it:
-        ids, sizes, ends = [], [], []
-        for first, data, off in text_chunks(b.column(1)):
-            for i, (n, e) in enumerate(sentence_lengths(data, off)):
-                if len(n):
-                    ids.append(first + i)
-                    sizes.append(n)
-                    ends.append(e)
-        if ids:
-            to = pa.array(np.cumsum([0, *map(len, sizes)]).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate(x).astype(np.int32))) for x in (sizes, ends)]
-            yield pa.record_batch([b.column(0).take(pa.array(ids)).cast(pa.int64()), *lists], names=["doc_id", "sizes", "ends"])
+def _units(capacity: int):
+    """doc_id, unit sizes, character ends and hard cuts of each text with a token."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            ids, sizes, ends, hard = [], [], [], []
+            for first, data, off in text_chunks(b.column(1)):
+                for i, (n, e, h) in enumerate(sentence_lengths(data, off, capacity)):
+                    if len(n):
+                        ids.append(first + i)
+                        sizes.append(n)
+                        ends.append(e)
+                        hard.append(h)
+            if ids:
+                to = pa.array(np.cumsum([0, *map(len, sizes)]).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate(x).astype(t))) for x, t in ((sizes, np.int32), (ends, np.int32), (hard, np.bool_))]
+                yield pa.record_batch([b.column(0).take(pa.array(ids)).cast(pa.int64()), *lists], names=["doc_id", "sizes", "ends", "hard"])
+
+    return run
 
 
 WINDOWS = "shard long, window int, n_tokens int, padding int, cut string, doc_ids array<long>, starts array<int>, ends array<int>"
@@ -114,20 +123,13 @@ def _pack(capacity: int, cut_penalty: int, hard_penalty: int):
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("first", "ascending"), ("digest", "ascending")])
         shard = table["shard"][0]
-        ids, all_sizes, all_ends = table["doc_id"].to_pylist(), table["sizes"], table["ends"]
+        ids, all_sizes, all_ends, all_hard = table["doc_id"].to_pylist(), table["sizes"], table["ends"], table["hard"]
         sizes, price, kind, doc, end = [], [], [], [], []
         for d in range(len(ids)):
-            for n, e in zip(all_sizes[d].as_py(), all_ends[d].as_py()):
-                while n > capacity:  # hard pieces of one sentence share its end
-                    sizes.append(capacity)
-                    price.append(hard_penalty)
-                    kind.append("hard")
-                    doc.append(d)
-                    end.append(e)
-                    n -= capacity
+            for n, e, h in zip(all_sizes[d].as_py(), all_ends[d].as_py(), all_hard[d].as_py()):
                 sizes.append(n)
-                price.append(cut_penalty)
-                kind.append("sentence")
+                price.append(hard_penalty if h else cut_penalty)
+                kind.append("hard" if h else "sentence")
                 doc.append(d)
                 end.append(e)
             price[-1], kind[-1] = 0, "document"
@@ -156,16 +158,15 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cut_penalty: int =
     """A row per window: shard, window, n_tokens, padding, cut (what ends it), and its pieces.
 
     A piece is doc_ids[i] from character starts[i] to ends[i]; white space between pieces stays at a
-    piece's front. Of a sentence longer than a window, all its windows name the whole sentence's
-    end: "hard" cuts are counted in tokens.
+    piece's front. "hard" cuts stand after a token inside a sentence longer than a window.
 
     docs has doc_id and text; other columns are ignored, whatever their names. Texts without a
     token (null ones too) are left out. Documents of a null doc_id form a shard of their own.
-    Equal doc_ids stand side by side, shorter first sentence first, then by digest of their lengths;
+    Equal doc_ids stand side by side, shorter first unit first, then by digest of their lengths;
     repeated rows are packed as often as they stand. An empty table gives no rows.
     """
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    units = d.mapInArrow(_units, "doc_id long, sizes array<int>, ends array<int>")
+    units = d.mapInArrow(_units(capacity), "doc_id long, sizes array<int>, ends array<int>, hard array<boolean>")
     units = units.withColumns(
         {
             "shard": F.floor(F.col("doc_id") / shard_ids),

@@ -196,6 +196,20 @@ def test_packing_hard_cut(spark):
     assert [w.n_tokens for w in got] == [32, 32, 6] and [w.cut for w in got] == ["hard", "hard", "document"]
 
 
+def test_packing_hard_ranges(spark):
+    """Hard windows hold in their ranges the tokens that they count."""
+    texts = ["w " * 70, "é  " * 32 + "b. " + "lang " * 100 + "\nend", "a b. c", "ü " * 64]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = packing.pack_documents(d, capacity=32).orderBy("window").collect()
+    assert "hard" in {w.cut for w in got}
+    read = defaultdict(list)
+    for w in got:
+        assert sum(len(texts[i][a:b].split()) for i, a, b in zip(w.doc_ids, w.starts, w.ends)) == w.n_tokens <= 32
+        for i, a, b in zip(w.doc_ids, w.starts, w.ends):
+            read[i] += texts[i][a:b].split()
+    assert read == {i: t.split() for i, t in enumerate(texts)}
+
+
 def test_packing_odd(odd, none):
     got = packing.pack_documents(odd).collect()
     total = sum(len((r.text or "").split()) for r in odd.collect())
