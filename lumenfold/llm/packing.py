@@ -9,8 +9,10 @@ every CAPACITY tokens, which cost HARD_PENALTY. With S the tokens before a cut p
 
 the least over a sliding range of i, kept in a monotone queue: linear time.
 
-Documents are packed within shards of SHARD_IDS consecutive ids, which bounds a task and keeps the
-order; only sentence lengths are shuffled, never text.
+Documents are packed within shards of SHARD_IDS documents that follow each other in order of doc_id,
+however far apart their ids are, which bounds a task and keeps the order. A document's place in that order is
+its place in its range of ids and the number of documents in the ranges before. Only sentence lengths are
+shuffled, never text.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import text_chunks, written
 
 CAPACITY, CUT_PENALTY, HARD_PENALTY, SHARD_IDS = 2048, 64, 256, 1024
 
@@ -121,7 +123,7 @@ WINDOWS = "shard long, window int, n_tokens int, padding int, cut string, doc_id
 
 def _pack(capacity: int, cut_penalty: int, hard_penalty: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("first", "ascending"), ("digest", "ascending")])
+        table = table.sort_by("place")
         shard = table["shard"][0]
         ids, all_sizes, all_ends, all_hard = table["doc_id"].to_pylist(), table["sizes"], table["ends"], table["hard"]
         sizes, price, kind, doc, end = [], [], [], [], []
@@ -161,17 +163,31 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cut_penalty: int =
     piece's front. "hard" cuts stand after a token inside a sentence longer than a window.
 
     docs has doc_id and text; other columns are ignored, whatever their names. Texts without a
-    token (null ones too) are left out. Documents of a null doc_id form a shard of their own.
-    Equal doc_ids stand side by side, shorter first unit first, then by digest of their lengths;
+    token (null ones too) are left out. Documents of a null doc_id come first. Equal doc_ids stand side by side, shorter first unit first, then by digest of their lengths;
     repeated rows are packed as often as they stand. An empty table gives no rows.
     """
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
     units = d.mapInArrow(_units(capacity), "doc_id long, sizes array<int>, ends array<int>, hard array<boolean>")
-    units = units.withColumns(
-        {
-            "shard": F.floor(F.col("doc_id") / shard_ids),
-            "first": F.get("sizes", F.lit(0)),
-            "digest": F.xxhash64("sizes", "ends"),
-        }
-    )
-    return units.groupBy("shard").applyInArrow(_pack(capacity, cut_penalty, hard_penalty), WINDOWS)
+    units = units.withColumns({"first": F.get("sizes", F.lit(0)), "digest": F.xxhash64("sizes", "ends")})
+    return _placed(units, shard_ids).groupBy("shard").applyInArrow(_pack(capacity, cut_penalty, hard_penalty), WINDOWS)
+
+
+def _placed(units: DataFrame, shard_ids: int) -> DataFrame:
+    """units with place (the rank in order of doc_id, first and digest) and shard.
+
+    Rows are cut into ranges; ranks in a range and the counts of the ranges before give the place, which doesn't
+    depend on where the ranges are cut. A row per range reaches the driver.
+    """
+    spark = units.sparkSession
+    order = ("doc_id", "first", "digest")
+    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged = written(ranged, "pack-units")
+    part = F.shiftright("at", 33)
+    before, rows = 0, []
+    for p, n in sorted(tuple(r) for r in ranged.groupBy(part.alias("part")).count().collect()):
+        rows.append((p, before - (p << 33)))
+        before += n
+    shift = spark.createDataFrame(rows, "part long, shift long")
+    placed = ranged.withColumn("part", part).join(F.broadcast(shift), "part")
+    placed = placed.withColumn("place", F.col("at") + F.col("shift"))
+    return placed.select("doc_id", "sizes", "ends", "hard", "place", F.floor(F.col("place") / shard_ids).alias("shard"))

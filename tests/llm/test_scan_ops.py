@@ -210,6 +210,18 @@ def test_packing_hard_ranges(spark):
     assert read == {i: t.split() for i, t in enumerate(texts)}
 
 
+def test_packing_sparse_ids(spark):
+    """Far-apart ids are packed as near ones are, and into the same windows."""
+    got = []
+    for gap in (1, 10**15 + 7):
+        d = spark.createDataFrame([((i - 150) * gap, "wort " * (1 + i % 9)) for i in range(300)], "doc_id long, text string").repartition(7)
+        w = packing.pack_documents(d, capacity=32, shard_ids=100).orderBy("shard", "window").collect()
+        got.append([(x.shard, x.window, x.n_tokens, [i // gap for i in x.doc_ids]) for x in w])
+    assert got[0] == got[1]
+    assert len({x[0] for x in got[0]}) == 3
+    assert [i for x in got[0] for i in dict.fromkeys(x[3])] == sorted(i for x in got[0] for i in dict.fromkeys(x[3]))
+
+
 def test_packing_odd(odd, none):
     got = packing.pack_documents(odd).collect()
     total = sum(len((r.text or "").split()) for r in odd.collect())
