@@ -14,6 +14,7 @@ Files are read by ranges through pyarrow's file systems, so any folder that all
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from urllib.parse import urlparse
 
@@ -99,9 +100,45 @@ def parse_header(head: bytes) -> tuple[int, int] | None:
     return (end + 4, int(m[1])) if m else None
 
 
+def read_head(f, off: int, size: int) -> bytes:
+    """The file from off on, as far as the first blank line or the file's end, HEADER bytes at least (if there)."""
+    f.seek(off)
+    head = f.read(min(HEADER, size - off))
+    seen = 0
+    while head.find(b"\r\n\r\n", seen) < 0 and off + len(head) < size:
+        seen = max(0, len(head) - 3)
+        more = f.read(min(len(head), size - off - len(head)))
+        if not more:
+            break
+        head += more
+    return head
+
+
+class LongHeaders:
+    """Headers beyond HEADER bytes: what stands before one blank line is read once for all candidates in it."""
+
+    def __init__(self, f, size: int):
+        self.f, self.size = f, size
+        self.start = self.stop = 0
+        self.end, self.at, self.n = -1, [], []
+
+    def parse(self, off: int) -> tuple[int, int] | None:
+        """As parse_header for the header at off, where the magic stands."""
+        if not self.start <= off < self.stop:
+            head = read_head(self.f, off, self.size)
+            end = head.find(b"\r\n\r\n")
+            self.start, self.stop = off, off + end if end >= 0 else self.size
+            self.end = off + end + 4 if end >= 0 else -1
+            found = list(_LENGTH.finditer(head, 0, end + 2)) if end >= 0 else []
+            self.at, self.n = [off + m.start() for m in found], [int(m[1]) for m in found]
+        k = bisect_right(self.at, off)
+        return (self.end - off, self.n[k]) if self.end >= 0 and k < len(self.at) else None
+
+
 def candidates(f, start: int, stop: int, size: int) -> dict[int, int]:
     """Offset to successor for each place in [start, stop) where a header can be read and its record fits the file."""
     out: dict[int, int] = {}
+    far = LongHeaders(f, size)
     at = start
     while at < stop:
         want = min(READ, stop - at)
@@ -109,7 +146,8 @@ def candidates(f, start: int, stop: int, size: int) -> dict[int, int]:
         block = f.read(min(want + HEADER, size - at))
         i = block.find(MAGIC)
         while 0 <= i < want:
-            got = parse_header(block[i : i + HEADER])
+            head = block[i : i + HEADER]
+            got = parse_header(head) if b"\r\n\r\n" in head else far.parse(at + i)
             if got and (end := at + i + got[0] + got[1] + 4) <= size:
                 out[at + i] = end
             i = block.find(MAGIC, i + 1)
@@ -193,14 +231,14 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
                 stop, rows, held = min(size, start + split), [], 0
                 with system.open_input_file(at) as f:
                     while off < stop:
-                        f.seek(off)
-                        block = f.read(HEADER)
+                        block = read_head(f, off, size)
                         got = parse_header(block)
                         if not got or off + sum(got) + 4 > size:
                             break
                         head, n = got
                         body = block[head : head + n]
                         if len(body) < n:
+                            f.seek(off + len(block))
                             body += f.read(n - len(body))
                         rows.append((path, off, *_fields(block[:head], body)))
                         held += n

@@ -283,6 +283,15 @@ def test_warc_round_trip(spark, split):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, rows))
 
 
+@pytest.mark.parametrize("split", [50_000, 1 << 20])
+def test_warc_long_url(spark, split):
+    """A header of any length is read whole, and the pages behind it aren't lost."""
+    rows = [(1, "u", "a"), (2, "data:" + "xé%" * 50_000, "b"), (3, "v", "c" * 1000), (4, "WARC/1.0 " * 25_000, ""), (5, None, "WARC/1.0" * 20_000), (6, "w", "d")]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = warc.archive_round_trip(spark, d, split).collect()
+    assert sorted(map(tuple, got)) == rows
+
+
 def test_warc_empty(spark):
     d = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.archive_round_trip(spark, d).count() == 0
