@@ -44,13 +44,26 @@ def entropy(w: list[float]) -> float:
     return -sum(x * math.log(x) for x in w if x > 0)
 
 
+def _rounded(w: float) -> float:
+    """w to 6 decimals, or to 4 significant digits where those are more: no small weight becomes 0."""
+    return round(w, max(6, 3 - math.floor(math.log10(w)))) if w > 0 else 0.0
+
+
+def _quota(exact: float, weight: float, tokens: int, budget: int, max_epochs: float) -> int:
+    """The weight's tokens, one at least; where the exact weight keeps max_epochs, so does the quota."""
+    q = max(int(weight * budget), min(budget, 1))
+    if exact * budget <= max_epochs * tokens * (1 + 1e-6):
+        q = min(q, max(1, int(max_epochs * tokens)))
+    return q
+
+
 def solve(totals: list[tuple[str | None, int]], budget: int | None = None, target: float = TARGET, max_epochs: float = MAX_EPOCHS) -> Plan:
     """Bisect the exponent in [0, 1].
 
     At 1 the weights are the natural shares, at 0 they are equal. Entropy falls and the
     passes over the smallest source fall as the exponent rises: the least exponent is taken
     that keeps the passes within max_epochs, or the one whose entropy meets the target,
-    whichever is larger. Sources without tokens have weight 0. The budget is all tokens unless given.
+    whichever is larger. Sources without tokens have weight 0; any other is drawn from. The budget is all tokens unless given.
     """
     live = sorted(((s, t) for s, t in totals if t > 0), key=lambda x: (x[0] is not None, x[0] or ""))
     total = sum(t for _, t in live)
@@ -66,8 +79,9 @@ def solve(totals: list[tuple[str | None, int]], budget: int | None = None, targe
         w = weights(toks, mid)
         flat = entropy(w) > goal + 1e-12 or max(x * budget / t for x, t in zip(w, toks)) > max_epochs
         lo, hi = (mid, hi) if flat else (lo, mid)
-    w = [round(x, 6) for x in weights(toks, round(hi, 9))]
-    return Plan(round(hi, 9), budget, tuple((s, t, x, int(x * budget)) for (s, t), x in zip(live, w)))
+    exact = weights(toks, round(hi, 9))
+    w = [_rounded(x) for x in exact]
+    return Plan(round(hi, 9), budget, tuple((s, t, x, _quota(e, x, t, budget, max_epochs)) for (s, t), e, x in zip(live, exact, w)))
 
 
 def totals(sized: DataFrame) -> list[tuple[str | None, int]]:

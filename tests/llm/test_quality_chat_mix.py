@@ -89,6 +89,17 @@ def test_mix_solver():
     assert mixing.solve([]).sources == ()
 
 
+def test_mix_long_tail():
+    """Tiny sources beside a huge one keep their weight, and rounding doesn't break the limit of passes."""
+    toks = [("hot", 5_000_000_000)] + [(f"s{i}", t) for i, t in enumerate([1, 30, 500, 600, 700, 5_000, 200_000])]
+    p = mixing.solve(toks, max_epochs=4.0)
+    exact = mixing.weights([t for _, t, _, _ in p.sources], p.exponent)
+    assert len(p.sources) == len(toks)
+    for e, (_, t, w, q) in zip(exact, p.sources):
+        assert w == pytest.approx(e, rel=1e-3) and 1 <= q <= 4 * t
+        assert q == pytest.approx(e * p.budget, rel=2e-3, abs=1)
+
+
 def test_mix_realised(spark):
     rows = [(i, "w " * (1 + i % 7), "hot" if i % 10 else f"s{i % 30}") for i in range(3000)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
