@@ -6,15 +6,14 @@ import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# --------------------------------------------------------------------------- columns
-
-
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with no column of df (case-insensitively)."""
     taken = {c.lower() for c in df.columns}
@@ -31,12 +30,15 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def id_type(df: DataFrame, column: str = "doc_id") -> str:
+    """The SQL name of a column's type, for schemas of functions that carry it as it is."""
+    return df.select(df[column]).schema[0].dataType.simpleString()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-# --------------------------------------------------------------------------- shared folder
-
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -72,6 +74,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def default_uri(spark: SparkSession) -> str:
+    """The file system that paths without a scheme belong to."""
+    return spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).toString()
+
+
+def open_uri(uri: str, default: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system and path of what Spark calls uri; default is default_uri of the session."""
+    if not urlparse(uri).scheme:
+        uri = default.rstrip("/") + "/" + uri.lstrip("/")
+    scheme, rest = uri.split(":", 1)
+    if scheme == "file":
+        return fs.LocalFileSystem(), unquote("/" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri(uri)
+
+
+def part_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a written folder, in order of their part."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
+
+
 def discard(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
@@ -87,8 +112,6 @@ def _clean() -> None:
             return
 
 
-# --------------------------------------------------------------------------- numpy text
-
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
