@@ -9,10 +9,9 @@ every CAPACITY tokens, which cost HARD_PENALTY. With S the tokens before a cut p
 
 the least over a sliding range of i, kept in a monotone queue: linear time.
 
-Documents are packed within shards of SHARD_IDS documents that follow each other in order of doc_id,
-however far apart their ids are, which bounds a task and keeps the order. A document's place in that order is
-its place in its range of ids and the number of documents in the ranges before. Only sentence lengths are
-shuffled, never text.
+Documents are packed within shards: a shard is the documents that begin within SHARD_TOKENS tokens of the sequence,
+which bounds a task and keeps the order whatever the ids are. The tokens before a document are those before it in its
+range of ids and those of the ranges before. Only sentence lengths are shuffled, never text.
 """
 
 from __future__ import annotations
@@ -24,10 +23,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import text_chunks, written
+from .common import id_type, text_chunks, written
 
-CAPACITY, CUT_PENALTY, HARD_PENALTY, SHARD_IDS = 2048, 64, 256, 1024
+CAPACITY, CUT_PENALTY, HARD_PENALTY, SHARD_TOKENS = 2048, 64, 256, 1 << 19
 
 _SPACE = np.zeros(256, np.bool_)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -113,17 +113,14 @@ def _units(capacity: int):
             if ids:
                 to = pa.array(np.cumsum([0, *map(len, sizes)]).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(to, pa.array(np.concatenate(x).astype(t))) for x, t in ((sizes, np.int32), (ends, np.int32), (hard, np.bool_))]
-                yield pa.record_batch([b.column(0).take(pa.array(ids)).cast(pa.int64()), *lists], names=["doc_id", "sizes", "ends", "hard"])
+                yield pa.record_batch([b.column(0).take(pa.array(ids)), *lists], names=["doc_id", "sizes", "ends", "hard"])
 
     return run
 
 
-WINDOWS = "shard long, window int, n_tokens int, padding int, cut string, doc_ids array<long>, starts array<int>, ends array<int>"
-
-
 def _pack(capacity: int, cut_penalty: int, hard_penalty: int):
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by("place")
+        table = table.sort_by([("before", "ascending"), ("nth", "ascending")])
         shard = table["shard"][0]
         ids, all_sizes, all_ends, all_hard = table["doc_id"].to_pylist(), table["sizes"], table["ends"], table["hard"]
         sizes, price, kind, doc, end = [], [], [], [], []
@@ -150,44 +147,66 @@ def _pack(capacity: int, cut_penalty: int, hard_penalty: int):
             for k, v in zip(out, (shard.as_py(), w, n, capacity - n, kind[c], [ids[r[0]] for r in rows], [r[1] for r in rows], [r[2] for r in rows])):
                 out[k].append(v)
             i = c + 1
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(table["doc_id"].type), pa.list_(pa.int32()), pa.list_(pa.int32())]
         return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds)], names=list(out))
 
     return run
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cut_penalty: int = CUT_PENALTY, hard_penalty: int = HARD_PENALTY, shard_ids: int = SHARD_IDS) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, cut_penalty: int = CUT_PENALTY, hard_penalty: int = HARD_PENALTY, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row per window: shard, window, n_tokens, padding, cut (what ends it), and its pieces.
 
     A piece is doc_ids[i] from character starts[i] to ends[i]; white space between pieces stays at a
-    piece's front. "hard" cuts stand after a token inside a sentence longer than a window.
-
-    docs has doc_id and text; other columns are ignored, whatever their names. Texts without a
-    token (null ones too) are left out. Documents of a null doc_id come first. Equal doc_ids stand side by side, shorter first unit first, then by digest of their lengths;
-    repeated rows are packed as often as they stand. An empty table gives no rows.
+    piece's front. The pieces of a document follow each other without gaps, and every window's pieces hold n_tokens
+    tokens. "hard" cuts stand after a token inside a sentence longer than a window.
+
+    docs has doc_id (of any type that sorts) and text; other columns are ignored, whatever their names. Texts without a
+    token (null and empty ones too) are left out; texts of any length are packed whole. Documents of a null doc_id come
+    first. Of equal doc_ids the one of the shorter first unit comes first, then by a digest of their lengths, so repeated
+    rows stand side by side and are packed as often as they stand. Of equally good cuts the one with longer windows
+    first is taken. An empty table gives no rows.
     """
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    units = d.mapInArrow(_units(capacity), "doc_id long, sizes array<int>, ends array<int>, hard array<boolean>")
+    kind = id_type(docs)
+    units = d.mapInArrow(_units(capacity), f"doc_id {kind}, sizes array<int>, ends array<int>, hard array<boolean>")
     units = units.withColumns({"first": F.get("sizes", F.lit(0)), "digest": F.xxhash64("sizes", "ends")})
-    return _placed(units, shard_ids).groupBy("shard").applyInArrow(_pack(capacity, cut_penalty, hard_penalty), WINDOWS)
+    windows = f"shard long, window int, n_tokens int, padding int, cut string, doc_ids array<{kind}>, starts array<int>, ends array<int>"
+    return _placed(units, shard_tokens).groupBy("shard").applyInArrow(_pack(capacity, cut_penalty, hard_penalty), windows)
+
+
+def _running(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """With each row's partition, its number in it, and the tokens above it there."""
+    from pyspark import TaskContext
+
+    part, rows, tokens = TaskContext.get().partitionId(), 0, 0
+    for b in it:
+        if not len(b):
+            continue
+        sizes = b.column(1)
+        to = sizes.offsets.to_numpy() - sizes.offsets[0].as_py()
+        total = np.concatenate([[0], np.cumsum(sizes.flatten().to_numpy().astype(np.int64))])[to]
+        own = {"part": pa.array(np.full(len(b), part)), "nth": pa.array(rows + np.arange(len(b))), "above": pa.array(tokens + total[:-1]), "tokens": pa.array(np.diff(total))}
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], *own.values()], names=["doc_id", "sizes", "ends", "hard", *own])
+        rows += len(b)
+        tokens += int(total[-1])
 
 
-def _placed(units: DataFrame, shard_ids: int) -> DataFrame:
-    """units with place (the rank in order of doc_id, first and digest) and shard.
+def _placed(units: DataFrame, shard_tokens: int) -> DataFrame:
+    """units with before (the tokens of the documents in front of it), nth (which orders equal ones) and shard.
 
-    Rows are cut into ranges; ranks in a range and the counts of the ranges before give the place, which doesn't
-    depend on where the ranges are cut. A row per range reaches the driver.
+    Rows are cut into ranges; neither before nor the shards depend on where. A row per range reaches the driver.
     """
     spark = units.sparkSession
     order = ("doc_id", "first", "digest")
-    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id())
+    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "sizes", "ends", "hard")
+    own = [T.StructField(c, T.LongType()) for c in ("part", "nth", "above", "tokens")]
+    ranged = ranged.mapInArrow(_running, T.StructType([*ranged.schema.fields, *own]))
     ranged = written(ranged, "pack-units")
-    part = F.shiftright("at", 33)
     before, rows = 0, []
-    for p, n in sorted(tuple(r) for r in ranged.groupBy(part.alias("part")).count().collect()):
-        rows.append((p, before - (p << 33)))
+    for p, n in sorted(tuple(r) for r in ranged.groupBy("part").agg(F.sum("tokens")).collect()):
+        rows.append((p, before))
         before += n
-    shift = spark.createDataFrame(rows, "part long, shift long")
-    placed = ranged.withColumn("part", part).join(F.broadcast(shift), "part")
-    placed = placed.withColumn("place", F.col("at") + F.col("shift"))
-    return placed.select("doc_id", "sizes", "ends", "hard", "place", F.floor(F.col("place") / shard_ids).alias("shard"))
+    shift = spark.createDataFrame(rows, "part2 long, shift long")
+    placed = ranged.join(F.broadcast(shift), F.col("part") == F.col("part2"))  # a row per range
+    placed = placed.withColumn("before", F.col("above") + F.col("shift"))
+    return placed.select("doc_id", "sizes", "ends", "hard", "before", "nth", F.expr(f"before div {shard_tokens}").alias("shard"))
