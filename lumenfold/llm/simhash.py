@@ -3,7 +3,7 @@
 Fingerprint: 128 bits over the set of a text's words (two 64-bit words). Two documents are
 near copies where their fingerprints differ in at most RADIUS bits and the smaller
 has at least RATIO as many distinct words as the larger. A group is a connected component
-of that relation; the one of least doc_id stays.
+of that relation; the one of least doc_id stays. Copies count as one text in the comparison.
 
 Plan
 1. One scan makes (doc_id, fingerprint, size); equal fingerprints collapse to one entry.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import fold, fresh, mix, quoted, text_chunks, word_hashes, words, written
+from .common import fold, fresh, id_type, mix, quoted, text_chunks, word_hashes, words, written
 
 RADIUS, RATIO, TILE, BLOCK = 20, 0.8, 32768, 512
 
@@ -73,14 +73,14 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = word_hashes(data, starts, ends)
             sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(off) - 1)]
             f = fingerprints(sets).view(np.int64)
-            ids = b.column(0).slice(first, len(sets)).cast(pa.int64())
+            ids = b.column(0).slice(first, len(sets))
             yield pa.record_batch([ids, pa.array(f[:, 0]), pa.array(f[:, 1]), pa.array([len(s) for s in sets], pa.int32())], names=["doc_id", "f0", "f1", "size"])
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, f0, f1, size (distinct words) for every row; all 0 where there is no word."""
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    return d.mapInArrow(_scan, "doc_id long, f0 long, f1 long, size int")
+    return d.mapInArrow(_scan, f"doc_id {id_type(docs)}, f0 long, f1 long, size int")
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -137,55 +137,60 @@ class Forest:
 
 
 def _tile_edges(radius: int, ratio: float):
+    """Rows (a, b, n) of two tiles: a forest's edges with n null, and for each entry with links (a = b) the rows behind its links."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         def arrays(t: pa.Table):
             t = t.sort_by([("pc", "ascending"), ("id", "ascending")])
             f = np.stack([t["f0"].to_numpy(), t["f1"].to_numpy()], 1).view(np.uint64)
-            return t["id"].to_numpy(), f, t["size"].to_numpy().astype(np.int64)
+            return t["id"].to_numpy(), f, t["size"].to_numpy().astype(np.int64), t["n"].to_numpy()
 
-        empty = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        empty = pa.table({k: pa.array([], pa.int64()) for k in "abn"})
         if not len(left):
             return empty
-        ia, fa, na = arrays(left)
+        ia, fa, na, ca = arrays(left)
         same = not len(right)  # a tile against itself has no right side
-        ib, fb, nb = (ia, fa, na) if same else arrays(right)
-        ids = ia if same else np.concatenate([ia, ib])
-        forest, shift = Forest(len(ids)), 0 if same else len(ia)
+        ib, fb, nb, cb = (ia, fa, na, ca) if same else arrays(right)
+        ids, copies = (ia, ca) if same else (np.concatenate([ia, ib]), np.concatenate([ca, cb]))
+        forest, shift, links = Forest(len(ids)), 0 if same else len(ia), np.zeros(len(ids), np.int64)
         for p, q in close_pairs(fa, fb, na, nb, radius, ratio, same):
-            forest.add(p, q + shift)
-        child = np.flatnonzero(forest.up != np.arange(len(ids)))
-        if not len(child):
+            q = q + shift
+            forest.add(p, q)
+            np.add.at(links, p, copies[q])
+            np.add.at(links, q, copies[p])
+        child, linked = np.flatnonzero(forest.up != np.arange(len(ids))), np.flatnonzero(links)
+        if not len(linked):
             return empty
-        return pa.table({"a": pa.array(ids[forest.up[child]]), "b": pa.array(ids[child])})
+        return pa.table({"a": pa.array(np.concatenate([ids[forest.up[child]], ids[linked]])), "b": pa.array(np.concatenate([ids[child], ids[linked]])), "n": pa.concat_arrays([pa.nulls(len(child), pa.int64()), pa.array(links[linked])])})
 
     return run
 
 
 def edges(entries: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame:
-    """a, b: a spanning forest of the near-copy relation over entries (id, f0, f1, size)."""
+    """a, b, n: a spanning forest of the near-copy relation over entries (id, f0, f1, size, n), and rows of links; see _tile_edges."""
     step = math.log(1 / ratio)
     # a margin keeps a size that lies on a class boundary in one class on every machine
     cls = F.floor(F.log(F.col("size").cast("double")) / step + 1e-9)
     e = entries.withColumns({"cls": cls, "pc": (F.bit_count("f0") + F.bit_count("f1")).cast("int")})
-    cells = e.groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("n"))
+    cells = e.groupBy("cls", "pc").agg(F.count(F.lit(1)).alias("m"))
     over = Window.partitionBy("cls").orderBy("pc").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0)))
+    cells = cells.withColumn("before", F.coalesce(F.sum("m").over(over), F.lit(0)))
     # A cell larger than a tile is spread over several by hash. At most 129 cells a class.
-    cells = written(cells.select("cls", "pc", F.expr(f"before div {tile}").alias("base"), F.greatest(F.ceil(F.col("n") / tile), F.lit(1)).cast("int").alias("split")), "simhash-cells")
+    cells = written(cells.select("cls", "pc", F.expr(f"before div {tile}").alias("base"), F.greatest(F.ceil(F.col("m") / tile), F.lit(1)).cast("int").alias("split")), "simhash-cells")
     tiled = e.join(cells.withColumnRenamed("cls", "c2").withColumnRenamed("pc", "p2"), (F.col("cls") == F.col("c2")) & (F.col("pc") == F.col("p2")))
     own = F.struct(F.col("base").alias("base"), F.when(F.col("split") == 1, F.lit(-1)).otherwise(F.col("pc")).alias("own"), F.pmod(F.xxhash64("id"), F.col("split")).alias("salt"))
-    tiled = written(tiled.select("id", "f0", "f1", "size", "cls", "pc", own.alias("t")), "simhash-tiles")
+    tiled = written(tiled.select("id", "f0", "f1", "size", "n", "cls", "pc", own.alias("t")), "simhash-tiles")
     tiles = tiled.groupBy("cls", "t").agg(F.min("pc").alias("lo"), F.max("pc").alias("hi"))
     tiles = written(tiles, "simhash-tile-list")
     x, y = tiles.select(F.col("cls").alias("xc"), F.col("t").alias("xt"), F.col("lo").alias("xl"), F.col("hi").alias("xh")), tiles.select(F.col("cls").alias("yc"), F.col("t").alias("yt"), F.col("lo").alias("yl"), F.col("hi").alias("yh"))
     near = (F.col("yl") - F.col("xh") <= radius) & (F.col("xl") - F.col("yh") <= radius)
     pairs = x.join(y, F.col("xc") == F.col("yc")).filter(near & (F.col("xt") <= F.col("yt"))).unionByName(x.join(y, F.col("xc") + 1 == F.col("yc")).filter(near))
     pairs = written(pairs.select("xc", "xt", "yc", "yt", F.xxhash64("xc", "xt", "yc", "yt").alias("pair")), "simhash-pairs")
-    left = tiled.join(pairs, (F.col("cls") == F.col("xc")) & (F.col("t") == F.col("xt"))).select("pair", "id", "f0", "f1", "size", "pc")
+    left = tiled.join(pairs, (F.col("cls") == F.col("xc")) & (F.col("t") == F.col("xt"))).select("pair", "id", "f0", "f1", "size", "n", "pc")
     other = pairs.filter((F.col("xc") != F.col("yc")) | (F.col("xt") != F.col("yt")))
     right = tiled.join(other, (F.col("cls") == F.col("yc")) & (F.col("t") == F.col("yt")))
-    right = right.select(*[F.col(c).alias(c) for c in ("pair", "id", "f0", "f1", "size", "pc")])
-    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(_tile_edges(radius, ratio), "a long, b long")
+    right = right.select(*[F.col(c).alias(c) for c in ("pair", "id", "f0", "f1", "size", "n", "pc")])
+    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(_tile_edges(radius, ratio), "a long, b long, n long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -218,46 +223,71 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tile: int = TILE) -> DataFrame:
-    """doc_id, group_id, kept: the members of every group of two documents or more.
+def _members(docs: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame:
+    """doc_id, f0, f1, size, group_id, n_links, kept of the members of groups: a row for each (doc_id, fingerprint) of several."""
+    f = written(document_fingerprints(docs).filter("doc_id IS NOT NULL AND size > 0").distinct(), "simhash-prints")
+    # an entry's number is fixed by being written
+    entries = f.groupBy("f0", "f1", "size").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    entries = written(entries.withColumn("id", F.monotonically_increasing_id()), "simhash-entries")
+    found = written(edges(entries.select("id", "f0", "f1", "size", "n"), radius, ratio, tile), "simhash-links")
+    links = found.filter("n IS NOT NULL").groupBy(F.col("a").alias("linked")).agg(F.sum("n").alias("far"))
+    root = components(found.filter("n IS NULL").select("a", "b"))
+    e = entries.join(root.withColumnRenamed("id", "k"), F.col("id") == F.col("k"), "left").withColumn("root", F.coalesce("root", "id")).drop("k")
+    e = e.join(links, F.col("id") == F.col("linked"), "left")
+    e = written(e.select("f0", "f1", "size", "root", "least", "n", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("n_links")), "simhash-classes")
+    # of several texts of the least doc_id one is kept: the one of the least fingerprint
+    groups = e.groupBy("root").agg(F.sum("n").alias("members"), F.min(F.struct("least", "f0", "f1", "size")).alias("best")).filter("members > 1")
+    e = e.join(groups.withColumnRenamed("root", "r2"), F.col("root") == F.col("r2")).select("f0", "f1", "size", "n_links", "best")
+    m = f.join(e, ["f0", "f1", "size"])
+    kept = (F.col("doc_id") == F.col("best.least")) & (F.struct("f0", "f1", "size") == F.struct("best.f0", "best.f1", "best.size"))
+    return m.select("doc_id", "f0", "f1", "size", F.col("best.least").alias("group_id"), "n_links", kept.alias("kept"))
+
 
-    group_id is the least doc_id of the group, whose document is kept. docs needs doc_id and
-    text; other columns are ignored, whatever their names. Rows of a null doc_id, and texts
-    without a word (null and empty ones), belong to no group. Rows that share a doc_id are one
-    document, near to whatever any of its texts is near to. An empty table gives no rows.
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tile: int = TILE) -> DataFrame:
+    """doc_id, group_id, n_links, kept: the members of every group of two documents or more.
+
+    group_id is the least doc_id of the group, n_links the number of documents that this one is near to, copies among them.
+    docs needs doc_id (of any type that sorts) and text; other columns are ignored, whatever their names. Rows of a null
+    doc_id, and texts without a word (null and empty ones), belong to no group. Texts of any length are read whole.
+    A repeated row (doc_id and fingerprint) is one document; different texts of one doc_id are documents of their own, each
+    with its row. Of several texts of the least doc_id the one of the least fingerprint is kept. An empty table gives
+    no rows.
     """
-    f = written(document_fingerprints(docs).filter("doc_id IS NOT NULL AND size > 0"), "simhash-prints")
-    entries = written(f.groupBy("f0", "f1", "size").agg(F.min("doc_id").alias("id")), "simhash-entries")
-    links = edges(entries, radius, ratio, tile)
-    # texts of one fingerprint, and the texts of one id, are linked through that entry's least id
-    copies = f.join(entries, ["f0", "f1", "size"]).filter("doc_id != id").select(F.col("id").alias("a"), F.col("doc_id").alias("b"))
-    root = written(components(links.unionByName(copies)), "simhash-groups")
-    return root.select(F.col("id").alias("doc_id"), F.col("root").alias("group_id"), (F.col("id") == F.col("root")).alias("kept"))
+    return _members(docs, radius, ratio, tile).select("doc_id", "group_id", "n_links", "kept")
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tile: int = TILE) -> DataFrame:
-    """docs with one document of each group, and one row of each doc_id that has words.
+    """docs, with all their columns, with one document of each group.
 
-    Of rows that share a doc_id the least text stays (nulls and other columns break ties).
-    Rows of a null doc_id and texts without a word stay as they are, repeats of a doc_id included.
+    Which rows are documents and which is kept: see near_duplicates. Of rows that repeat a doc_id and fingerprint the
+    least by text stays (nulls and other columns break ties). Different texts that share a doc_id are no copies of one
+    another and both stay. Rows of a null doc_id and texts without a word stay as they are. An empty table gives no rows.
     """
-    gone = near_duplicates(docs, radius, ratio, tile).filter("NOT kept").select("doc_id")
-    (key,) = fresh(docs, "dropped_id")
-    left = docs.join(gone.withColumnRenamed("doc_id", key), docs["doc_id"] == F.col(key), "left_anti")
-    return _one_row_each(left)
-
-
-def _one_row_each(docs: DataFrame) -> DataFrame:
-    """Rows of a repeated doc_id are thinned to one; only those rows are shuffled."""
+    members = written(_members(docs, radius, ratio, tile), "simhash-members")
     again = docs.filter(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].alias("again_id")).count().filter("count > 1").select("again_id")
     again = written(again, "simhash-again")
+    key, lost = fresh(docs, "dropped_id", "again_id")
+    again = again.select(F.col("again_id").alias(lost))
+    gone = members.filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
     if again.isEmpty():
-        return docs
-    key, rank = fresh(docs, "again_id", "again_rank")
-    again = again.select(F.col("again_id").alias(key))
-    worded = F.coalesce(docs["text"].rlike(r"[A-Za-z0-9]|[^\x00-\x7F]"), F.lit(False))
-    once = docs.filter(docs["doc_id"].isNull()).unionByName(docs.join(again, docs["doc_id"] == F.col(key), "left_anti").filter(docs["doc_id"].isNotNull()))
-    many = docs.join(again, docs["doc_id"] == F.col(key), "left_semi")
-    by = Window.partitionBy(F.col("doc_id"), worded).orderBy(*[F.col(quoted(c)).asc_nulls_last() for c in ["text", *[c for c in docs.columns if c != "text"]]])
-    many = many.withColumn(rank, F.when(worded, F.row_number().over(by)).otherwise(1)).filter(F.col(rank) == 1).drop(rank)
-    return once.unionByName(many)
+        return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    # Only rows of a repeated doc_id need their fingerprints again, to tell which of the id's texts is meant.
+    many = docs.join(again, docs["doc_id"] == F.col(lost), "left_semi")
+    once = docs.join(again, docs["doc_id"] == F.col(lost), "left_anti").join(gone, docs["doc_id"] == F.col(key), "left_anti")
+    return once.unionByName(_thinned(many, members))
+
+
+def _thinned(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Of rows that repeat a doc_id and fingerprint one, unless the members say that it goes; rows without a word stay."""
+    row, f0, f1, size, rank = fresh(docs, "own_row", "print_0", "print_1", "print_size", "print_rank")
+    whole = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    at = docs.columns.index("text")
+    d = docs.select(whole.alias("doc_id"), docs["text"].alias("text"))
+    p = document_fingerprints(d).select(F.col("doc_id").alias(row), F.col("f0").alias(f0), F.col("f1").alias(f1), F.col("size").alias(size))
+    i = docs.columns.index("doc_id")
+    mine = F.col(f"{row}.c{i}")
+    by = Window.partitionBy(mine, f0, f1, size).orderBy(F.col(f"{row}.c{at}"), *[F.col(f"{row}.c{j}").asc_nulls_last() for j, f in enumerate(docs.schema) if j != at and not f.dataType.simpleString().startswith("map")])
+    p = p.withColumn(rank, F.when(F.col(size) > 0, F.row_number().over(by)).otherwise(1)).filter(F.col(rank) == 1)
+    gone = members.filter("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("size").alias("gs"))
+    p = p.join(gone, (mine == F.col("g_id")) & (F.col(f0) == F.col("g0")) & (F.col(f1) == F.col("g1")) & (F.col(size) == F.col("gs")), "left_anti")
+    return p.select(*[F.col(f"{row}.c{j}").alias(c) for j, c in enumerate(docs.columns)])
