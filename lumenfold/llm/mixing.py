@@ -44,15 +44,10 @@ def entropy(w: list[float]) -> float:
     return -sum(x * math.log(x) for x in w if x > 0)
 
 
-def _rounded(w: float) -> float:
-    """w to 6 decimals, or to 4 significant digits where those are more: no small weight becomes 0."""
-    return round(w, max(6, 3 - math.floor(math.log10(w)))) if w > 0 else 0.0
-
-
-def _quota(exact: float, weight: float, tokens: int, budget: int, max_epochs: float) -> int:
-    """The weight's tokens, one at least; where the exact weight keeps max_epochs, so does the quota."""
-    q = max(int(weight * budget), min(budget, 1))
-    if exact * budget <= max_epochs * tokens * (1 + 1e-6):
+def _quota(weight: float, tokens: int, budget: int, max_epochs: float) -> int:
+    """The weight's tokens, one at least; where the weight keeps max_epochs, so does the quota."""
+    q = max(math.floor(weight * budget + 1e-6), min(budget, 1))
+    if weight * budget <= max_epochs * tokens * (1 + 1e-6):
         q = min(q, max(1, int(max_epochs * tokens)))
     return q
 
@@ -79,9 +74,8 @@ def solve(totals: list[tuple[str | None, int]], budget: int | None = None, targe
         w = weights(toks, mid)
         flat = entropy(w) > goal + 1e-12 or max(x * budget / t for x, t in zip(w, toks)) > max_epochs
         lo, hi = (mid, hi) if flat else (lo, mid)
-    exact = weights(toks, round(hi, 9))
-    w = [_rounded(x) for x in exact]
-    return Plan(round(hi, 9), budget, tuple((s, t, x, _quota(e, x, t, budget, max_epochs)) for (s, t), e, x in zip(live, exact, w)))
+    w = weights(toks, round(hi, 9))
+    return Plan(round(hi, 9), budget, tuple((s, t, x, _quota(x, t, budget, max_epochs)) for (s, t), x in zip(live, w)))
 
 
 def totals(sized: DataFrame) -> list[tuple[str | None, int]]:
@@ -94,28 +88,23 @@ def _key(epoch: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(SEED)), epoch.cast("string"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
 
 
-def schedule(sized: DataFrame, plan: Plan) -> DataFrame:
-    """source, epoch, doc_id, n_tokens, block, position for every document drawn.
-
-    sized has doc_id, source and n_tokens (and nothing else). In each pass (epoch) a source's
-    documents stand in a pseudo-random order; the source's sequence is all its passes, cut at
-    its quota: the document that begins before the quota ends is still drawn. A document that begins
-    at share u of the quota goes to block floor(u * blocks), so each block holds the target mix,
-    and inside a block the documents of all sources are permuted.
+def _drawn(sized: DataFrame, plan: Plan, least_epoch: str = "0") -> DataFrame:
+    """doc_id, source, n_tokens, quota, last (pass), epoch, k, start of every document drawn in passes from least_epoch on.
 
-    No source needs one task: prefix sums run inside buckets of the order's leading digits,
-    and over the buckets' sums, which are 256 a source and pass.
+    start is where the document begins in its source's sequence of passes. No source needs one task: prefix sums run
+    inside buckets of the order's leading digits, as many as a source's size asks for, and over the buckets' sums.
     """
     spark = sized.sparkSession
     rows = [(s is None, s or "", t, q) for s, t, _, q in plan.sources if q > 0]
-    if not rows:
-        return spark.createDataFrame([], "source string, epoch int, doc_id long, n_tokens long, block long, position int")
+    # a row a source: Spark sends it to the tasks only if it is small
     quota = spark.createDataFrame(rows, "is_null boolean, name string, source_tokens long, quota long")
-    d = sized.filter("n_tokens > 0").join(F.broadcast(quota), (F.col("source").isNull() == F.col("is_null")) & (F.coalesce("source", F.lit("")) == F.col("name")))
-    last = ((F.col("quota") - 1) / F.col("source_tokens")).cast("int")
-    d = d.withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-    d = d.withColumn("k", _key(F.col("epoch"), F.col("doc_id"))).withColumn("bucket", F.substring("k", 1, 2))
-    d = d.select("doc_id", "source", "n_tokens", "source_tokens", "quota", "epoch", "k", "bucket")
+    d = sized.filter("n_tokens > 0").join(quota, (F.col("source").isNull() == F.col("is_null")) & (F.coalesce("source", F.lit("")) == F.col("name")))
+    d = d.withColumn("last", ((F.col("quota") - 1) / F.col("source_tokens")).cast("int"))
+    d = d.withColumn("epoch", F.explode(F.sequence(F.expr(least_epoch), F.col("last"))))
+    # two digits make 256 buckets; beyond some 2^20 tokens a bucket another digit is taken
+    digits = 2 + F.greatest(F.lit(0), F.ceil(F.log2(F.col("source_tokens") / F.lit(float(1 << 28))) / 4)).cast("int")
+    d = d.withColumn("k", _key(F.col("epoch"), F.col("doc_id"))).withColumn("bucket", F.substring(F.col("k"), F.lit(1), digits))
+    d = d.select("doc_id", "source", "n_tokens", "source_tokens", "quota", "last", "epoch", "k", "bucket")
     buckets = d.groupBy("source", "epoch", "bucket").agg(F.sum("n_tokens").alias("bucket_tokens"))
     over = Window.partitionBy("source", "epoch").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("source", "epoch", "bucket", F.coalesce(F.sum("bucket_tokens").over(over), F.lit(0)).alias("before"))
@@ -124,8 +113,19 @@ def schedule(sized: DataFrame, plan: Plan) -> DataFrame:
     b = buckets.alias("b")
     d = d.join(b, F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.epoch") == F.col("b.epoch")) & (F.col("d.bucket") == F.col("b.bucket")))
     start = F.col("d.epoch").cast("long") * F.col("source_tokens") + F.col("before") + F.col("within")
-    d = d.select("d.source", "d.epoch", "d.doc_id", "n_tokens", "quota", start.alias("start"), "k").filter(F.col("start") < F.col("quota"))
-    d = d.withColumn("block", F.expr(f"start * {plan.n_blocks}L div quota"))
+    return d.select("d.source", "d.epoch", "d.doc_id", "n_tokens", "quota", "last", start.alias("start"), "k").filter(F.col("start") < F.col("quota"))
+
+
+def schedule(sized: DataFrame, plan: Plan) -> DataFrame:
+    """source, epoch, doc_id, n_tokens, block, position for every document drawn.
+
+    sized has doc_id, source and n_tokens (and nothing else). In each pass (epoch) a source's
+    documents stand in a pseudo-random order; the source's sequence is all its passes, cut at
+    its quota: the document that begins before the quota ends is still drawn. A document that begins
+    at share u of the quota goes to block floor(u * blocks), so each block holds the target mix,
+    and inside a block the documents of all sources are permuted.
+    """
+    d = _drawn(sized, plan).withColumn("block", F.expr(f"start * {plan.n_blocks}L div quota"))
     spot = Window.partitionBy("block").orderBy("k", F.col("source").asc_nulls_first(), "doc_id", "epoch", "n_tokens")
     return d.select("source", "epoch", "doc_id", "n_tokens", "block", F.row_number().over(spot).alias("position"))
 
@@ -139,32 +139,38 @@ def sized(docs: DataFrame) -> DataFrame:
 def mix_sources(docs: DataFrame, budget: int | None = None, target: float = TARGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
     """The schedule of draws that mixes the sources of docs.
 
-    docs has doc_id, source and text. Null sources are one source; a null doc_id is an id of
-    its own. Null and empty texts have no tokens and aren't drawn. Repeated rows are drawn as often
-    as they stand. An empty table gives no rows. Other columns don't matter.
+    docs has doc_id (of any type that has a string), source and text; other columns are ignored, whatever their names. Null
+    sources are one source; a null doc_id is an id of its own. Null and empty texts have no tokens and aren't drawn; texts
+    of any length count whole. Documents whose hashes tie are ordered by doc_id, then tokens; repeated rows are drawn as
+    often as they stand. An empty table gives no rows.
     """
     s = sized(docs)
     return schedule(s, solve(totals(s), budget, target, max_epochs))
 
 
 def mixed_documents(docs: DataFrame, budget: int | None = None, target: float = TARGET, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """docs as the mix has it: a document drawn in several passes stands several times, one never drawn is gone.
+    """docs, with all their columns, as the mix has it: a document drawn in several passes stands several times, one never drawn is gone.
 
-    Rows that share doc_id and source share their draws evenly, rounded up; rows without a token are gone.
+    The draws are those of mix_sources. Only a source's last pass is partial, and its draws are a prefix of that
+    pass's order: so a row a source (the passes, and the last draw's place in the order) decides each document in its
+    own row, and no text is shuffled. Rows that share doc_id, source and number of tokens are drawn alike: where the
+    quota ends among them, all of them stand as often as the first. Rows without a token are gone. Nulls, ties and
+    empty tables as in mix_sources.
     """
     s = sized(docs)
-    draws = schedule(s, solve(totals(s), budget, target, max_epochs))
-    key, times = fresh(docs, "mix_key", "mix_times")
-    drawn = draws.select(_identity(F.col("source"), F.col("doc_id")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("drawn"))
-    there = s.filter("n_tokens > 0").select(_identity(F.col("source"), F.col("doc_id")).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("rows"))
-    n = drawn.join(there, "key").select(F.col("key").alias(key), F.ceil(F.col("drawn") / F.col("rows")).cast("int").alias(times))
-    # Only the counts meet the texts: one shuffle of docs, none of the schedule's columns.
-    d = docs.filter(docs["text"].rlike(r"\S")).withColumn(key, _identity(docs["source"].cast("string"), docs["doc_id"]))
-    return d.join(n, key).withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*[quoted(c) for c in docs.columns])
-
-
-def _identity(source: Column, doc_id: Column) -> Column:
-    return F.concat_ws("\x01", F.coalesce(doc_id.cast("string"), F.lit("\x02")), F.coalesce(source, F.lit("\x02")))
+    plan = solve(totals(s), budget, target, max_epochs)
+    if not plan.sources:
+        return docs.limit(0)
+    place = F.struct("k", "doc_id", "n_tokens")
+    ends = _drawn(s, plan, "last").groupBy("source").agg(F.max(place).alias("end"), F.first("last").alias("last"))
+    src, end, last = fresh(docs, "mix_source", "mix_end", "mix_last")
+    ends = written(ends.select(F.col("source").alias(src), F.col("end").alias(end), F.col("last").alias(last)), "mix-ends")
+    text = docs["text"]
+    d = docs.filter(text.rlike(r"\S")).join(ends, docs["source"].cast("string").eqNullSafe(F.col(src)))
+    own = F.struct(_key(F.col(last), docs["doc_id"]).alias("k"), docs["doc_id"].alias("doc_id"), n_tokens(text).alias("n_tokens"))
+    times = F.col(last) + F.when(own <= F.col(end), F.lit(1)).otherwise(F.lit(0))
+    (again,) = fresh(docs, "mix_again")
+    return d.withColumn(again, F.explode(F.when(times > 0, F.sequence(F.lit(1), times)))).select(*[quoted(c) for c in docs.columns])
 
 
 MIX_SQL = f"""
@@ -187,7 +193,7 @@ bis AS (
             FROM (SELECT pow(CAST(t AS DOUBLE) / budget, (lo + hi) / 2) AS r, t, budget, g FROM s, b, goal))) AS flat
     FROM bis WHERE i < {STEPS})),
 a AS (SELECT round(hi, 9) AS e FROM bis WHERE i = {STEPS}),
-w AS (SELECT source, t, CAST(floor(round(r / sum(r) OVER (), 6) * budget) AS BIGINT) AS quota
+w AS (SELECT source, t, least(greatest(CAST(floor(r / sum(r) OVER () * budget + 1e-6) AS BIGINT), 1), CAST({int(MAX_EPOCHS)} * t AS BIGINT)) AS quota
       FROM (SELECT source, t, budget, pow(CAST(t AS DOUBLE) / budget, e) AS r FROM s, b, a)),
 x AS (
   SELECT doc_id, d.source, n_tokens, t, quota, CAST(unnest(range(0, (quota - 1) // t + 1)) AS INTEGER) AS epoch
