@@ -19,6 +19,7 @@ STOP_WORDS = tuple(
     "el los las del y se por con no su para al lo es una como".split()
 )
 STOP_LANGS = ("en", "de", "fr", "es")
+_SYMBOL = "[" + "".join("\\" + c for c in SYMBOLS) + "]"
 
 
 @dataclass(frozen=True)
@@ -34,7 +35,6 @@ class Rule:
 
 RULES = (
     Rule("too_few_words", "n_words", low=1),
-    Rule("too_many_words", "n_words", high=1_000_000),
     Rule("word_length", "mean_word_length", low=1.5, high=20.0, min_words=10),
     Rule("symbols", "symbol_ratio", high=0.06),
     Rule("capitals", "capital_ratio", high=0.6, min_words=10),
@@ -46,89 +46,69 @@ RULES = (
 METRICS = ("n_words", "mean_word_length", "symbol_ratio", "capital_ratio", "exclamation_ratio", "stop_word_ratio", "stutter_ratio", "repeated_line_ratio")
 
 
-def _metrics(text: Column, lang: Column) -> dict[str, Column]:
-    """One expression per metric. Null text counts as empty; every ratio over nothing is 0."""
+def _metrics(text: Column, lang: Column) -> Column:
+    """A struct of the metrics. Null text counts as empty; every ratio over nothing is 0."""
     t = F.coalesce(text, F.lit(""))
-    chars = F.length(t)
-    w = F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    lines = F.filter(F.split(t, "\n"), lambda x: x != "")
     ratio = lambda a, b: F.when(b > 0, a.cast("double") / b).otherwise(F.lit(0.0))
-    letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
-
-    def of_words(v: Column) -> dict[str, Column]:
-        n = F.size(v)
-        pairs = F.zip_with(v, F.slice(v, 2, F.greatest(n, F.lit(1))), lambda a, b: a.eqNullSafe(b))
-        return {
+    judged = lang.isNull() | lang.isin(*STOP_LANGS)
+
+    def of_text(t: Column, chars: Column, w: Column, n: Column) -> Column:
+        lines = F.filter(F.split(t, "\n"), lambda x: x != "")
+        again = F.filter(w, lambda x, i: F.when(i > 0, x == F.get(w, i - 1)).otherwise(F.lit(False)))
+        repeated = F.transform(F.array(lines), lambda v: ratio(F.size(v) - F.size(F.array_distinct(v)), F.size(v)))[0]
+        letters = F.length(F.regexp_replace(t, r"[^\p{L}]+", ""))
+        out = {
             "n_words": n,
-            "mean_word_length": ratio(F.length(F.array_join(v, "")), n),
-            "stop_word_ratio": F.when(lang.isNull() | lang.isin(*STOP_LANGS), ratio(F.size(F.filter(v, lambda x: x.isin(*STOP_WORDS))), n)).otherwise(F.lit(1.0)),
-            "stutter_ratio": ratio(F.size(F.filter(pairs, lambda x: x)), n),
+            "mean_word_length": ratio(F.length(F.array_join(w, "")), n),
+            "symbol_ratio": ratio(F.regexp_count(t, F.lit(_SYMBOL)), chars),
+            "capital_ratio": F.transform(F.array(letters), lambda x: ratio(F.regexp_count(t, F.lit(r"\p{Lu}")), x))[0],
+            "exclamation_ratio": ratio(chars - F.length(F.replace(t, F.lit("!"), F.lit(""))), n),
+            "stop_word_ratio": F.when(judged, ratio(F.size(F.filter(w, lambda x: x.isin(*STOP_WORDS))), n)).otherwise(F.lit(1.0)),
+            "stutter_ratio": ratio(F.size(again), n),
+            "repeated_line_ratio": repeated,
         }
+        return F.struct(*[out[k].alias(k) for k in METRICS])
 
-    # The arrays are bound once, as the only element of a list, so that each is built once a row.
-    wm = F.transform(F.array(w), lambda v: F.struct(*[c.alias(k) for k, c in of_words(v).items()]))[0]
-    lm = F.transform(F.array(lines), lambda v: ratio(F.size(v) - F.size(F.array_distinct(v)), F.size(v)))[0]
-    gone = lambda s: chars - F.length(F.translate(t, s, ""))
-    return {
-        "_words": wm,
-        "symbol_ratio": ratio(gone(SYMBOLS), chars),
-        "capital_ratio": ratio(F.length(F.regexp_replace(t, r"[^\p{Lu}]+", "")), letters),
-        "_bangs": gone("!"),
-        "repeated_line_ratio": lm,
-    }
-
+    # What several metrics use is bound as the only element of a list, so that it is worked out once a row.
+    bound = F.array(F.struct(t.alias("t"), F.length(t).alias("chars"), F.regexp_extract_all(F.lower(t), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)).alias("w")))
+    return F.transform(bound, lambda x: of_text(x["t"], x["chars"], x["w"], F.size(x["w"])))[0]
 
-def quality_metrics(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, the metrics, the names of the broken rules, and keep.
 
-    docs needs doc_id, text and lang; other columns are ignored, whatever their names.
-    Null or empty text has no words and breaks too_few_words. A null lang is judged like
-    a known one; of an unknown lang the stop words aren't judged (ratio 1). A very long
-    text is read whole. Repeated rows give repeated results; an empty table gives none.
-    """
-    m = _metrics(docs["text"], docs["lang"])
-    one = docs.select(docs["doc_id"].alias("doc_id"), *[c.alias(k) for k, c in m.items()])
-    bangs = F.when(F.col("_words.n_words") > 0, F.col("_bangs").cast("double") / F.col("_words.n_words")).otherwise(F.lit(0.0))
-    flat = one.select(
-        "doc_id",
-        *[(bangs if k == "exclamation_ratio" else F.col(k) if k in m else F.col(f"_words.{k}")).alias(k) for k in METRICS],
-    )
-    broken = []
+def _broken(m: Column, rules: tuple[Rule, ...]) -> list[Column]:
+    """The table compiled: for each rule its name where metrics m break it, else null."""
+    out = []
     for r in rules:
         bad = F.lit(False)
         if r.low is not None:
-            bad = bad | (F.col(r.metric) < r.low)
+            bad = bad | (m[r.metric] < r.low)
         if r.high is not None:
-            bad = bad | (F.col(r.metric) > r.high)
-        broken.append(F.when(bad & (F.col("n_words") >= r.min_words), F.lit(r.name)))
-    return flat.withColumn("broken", F.concat_ws(",", *broken)).withColumn("keep", F.col("broken") == "")
+            bad = bad | (m[r.metric] > r.high)
+        out.append(F.when(bad & (m["n_words"] >= r.min_words), F.lit(r.name)))
+    return out
 
 
-def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows of docs, with all their columns, that break no rule."""
-    # docs without a lang or doc_id column of its own can't come here: both belong to documents
-    m = _metrics(docs["text"], docs["lang"])
-    s = F.transform(F.array(F.struct(*[c.alias(k) for k, c in m.items()])), lambda x: F.coalesce(*_first_broken(x, rules)))[0]
-    return docs.filter(s == "")
+def quality_metrics(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """doc_id, the metrics, the names of the broken rules, and keep.
 
+    docs needs doc_id (of any type), text and lang; other columns are ignored, whatever their names.
+    Null or empty text has no words and breaks too_few_words. A null lang is judged like
+    a known one; of an unknown lang the stop words aren't judged (ratio 1). A very long
+    text is read whole, and length alone breaks no rule. Repeated rows give repeated results; there are no ties;
+    a null doc_id is carried; an empty table gives no rows.
+    """
+    one = docs.select(docs["doc_id"].alias("doc_id"), _metrics(docs["text"], docs["lang"]).alias("m"))
+    flat = one.select("doc_id", *[F.col(f"m.{k}").alias(k) for k in METRICS], F.concat_ws(",", *_broken(F.col("m"), rules)).alias("broken"))
+    return flat.withColumn("keep", F.col("broken") == "")
 
-def _first_broken(x: Column, rules: tuple[Rule, ...]) -> list[Column]:
-    n = x["_words"]["n_words"]
 
-    def metric(k: str) -> Column:
-        if k == "exclamation_ratio":
-            return F.when(n > 0, x["_bangs"].cast("double") / n).otherwise(F.lit(0.0))
-        return x["_words"][k] if k in ("n_words", "mean_word_length", "stop_word_ratio", "stutter_ratio") else x[k]
+def quality_filter(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The rows of docs, with all their columns, that break no rule.
 
-    out = []
-    for r in rules:
-        bad = F.lit(False)
-        if r.low is not None:
-            bad = bad | (metric(r.metric) < r.low)
-        if r.high is not None:
-            bad = bad | (metric(r.metric) > r.high)
-        out.append(F.when(bad & (n >= r.min_words), F.lit(r.name)))
-    return [*out, F.lit("")]
+    Nulls, empty and long texts are judged as in quality_metrics: null and empty texts go. Repeated rows stay or go
+    together. An empty table gives no rows.
+    """
+    broken = F.transform(F.array(_metrics(docs["text"], docs["lang"])), lambda m: F.coalesce(*_broken(m, rules), F.lit("")))[0]
+    return docs.filter(broken == "")
 
 
 def metrics_sql(rules: tuple[Rule, ...] = RULES, table: str = "documents") -> str:
