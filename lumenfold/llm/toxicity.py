@@ -7,36 +7,50 @@ edits), are made deterministic as texts need them, and kept: a table from state
 to state. All words of a batch step through that table together in numpy; nearly all reach the
 dead state after a few letters.
 
-A hit weighs by its edits, and by its context window: a quoted or reported word counts less, one
-that addresses someone counts more. A document is toxic where its hits' weights reach THRESHOLD.
+A hit weighs what its term does: 1 for plain abuse, MILD for words with an innocent sense, the share of toxic documents
+among those labelled that hold it where that is known. Edits make it lighter. Its context window counts: a quoted or
+reported word weighs less, one said to someone's face ("you are a ...") more. Repeats of a form count half as much each
+time. Last, the sum is set against the length: hits thinner than one in SPAN words count in proportion. A document is
+toxic where its score reaches THRESHOLD: one mild word never suffices unless it addresses someone.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Collection, Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Iterator, Mapping, Sequence
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import id_type, written
 
-LEXICON = tuple(
-    "idiot idiots moron morons stupid loser losers pathetic scum worthless trash clown clowns disgusting "
-    "imbecile cretin dumbass asshole bastard bitch retard retarded dickhead shithead fuck fucker fucking "
-    "motherfucker cunt whore slut subhuman vermin scumbag douchebag dipshit jackass lowlife parasite".split()
+ABUSE = tuple(
+    "idiot idiots moron morons imbecile cretin dumbass asshole bitch retard dickhead shithead fuck fucker "
+    "motherfucker cunt whore slut subhuman scum scumbag douchebag dipshit jackass".split()
 )
-#: Weight of a hit by its edits; the score from which a document is toxic.
-EDIT_WEIGHTS, THRESHOLD = (1.0, 0.6, 0.35), 1.0
-QUOTED, ADDRESSED, WINDOW = 0.3, 1.25, 60
-#: At most this many labelled documents teach the lexicon; terms need this support.
-SAMPLE_ROWS, MIN_TOXIC_DOCS, MIN_CONTEXTS, MIN_PRECISION, MAX_TERMS = 20_000, 6, 5, 0.97, 5_000
+INNOCENT = tuple("stupid loser losers pathetic worthless trash clown clowns disgusting vermin lowlife parasite bastard retarded fucking".split())
+#: Weight of a word that has an innocent sense; the score from which a document is toxic.
+MILD, THRESHOLD = 0.6, 0.95
+#: Weight of a misspelt hit of a short term, of a term of LONG letters or more, and of one with two edits.
+SHORT_EDIT, LONG_EDIT, TWO_EDITS, LONG = 0.6, 0.9, 0.6, 7
+QUOTED, ADDRESSED, WINDOW, SPAN = 0.3, 2.0, 60, 2000
+#: At most this many labelled documents teach the lexicon. A learned term has this precision at least, and the chance that any
+#: word of the sample would seem as toxic is CHANCE at most. A listed word below FAIR isn't used; with less than KNOWN
+#: labelled documents its precision counts as unknown.
+SAMPLE_ROWS, MIN_PRECISION, CHANCE, FAIR, KNOWN = 20_000, 0.97, 0.05, 0.5, 5
+#: Clean documents that a learned term is taken to have besides those seen: one of five toxic documents doesn't suffice alone.
+DOUBT = 0.3
 
 _CUES = re.compile(r"(?i)\b(said|says|quote[ds]?|quoting|called|wrote|writes|the (?:word|term|phrase|slur|insult)|so-called|reads?|reported)\b")
-_YOU = re.compile(r"(?i)\b(you|your|you're|youre|ur|du|dich|dein\w*|ihr|tu|toi|ton|vous|tú|usted|eres|sois)\b")
+_LINK = (
+    r"are|r|re|were|such|just|so|really|all|nothing|but|a|an|the|one|little|"
+    r"es|êtes|bist|seid|sind|sois|ein|eine|une?|una|uno|le|la|el|der|die|das|espèce|de|sale|so|nur|muy|très|sehr"
+)
+_FACE = re.compile(rf"(?i)\b(?:you|u|your?(?=['’]?re\b)|tu|vous|du|ihr|tú|usted|eres|sois|t(?=['’]es\b))(?:['’]?(?:re|es)\b)?(?:(?:[^\w.!?\n]+(?:{_LINK})\b)+(?:[^\w.!?\n]+\w+)?)?[^\w.!?\n]+$")
 _OPEN, _CLOSE = "\"“«„‘'", "\"”»“’'"
 
 
@@ -51,7 +65,7 @@ class Automaton:
     Letters are classes: 0 ends a word, 1 is any letter that no term has, others are the terms' letters.
     """
 
-    def __init__(self, terms: Sequence[str], fuzzy: Collection[str] | None = None):
+    def __init__(self, terms: Sequence[str], edits: Mapping[str, int] | None = None):
         self.kids: list[dict[int, int]] = []
         self.ends: list[str | None] = []
         self.height: list[int] = []
@@ -68,7 +82,7 @@ class Automaton:
                 self.classes[i] = self.code[low]
         start = set()
         for budget in (0, 1, 2):  # a trie for each number of edits, so a node knows its own
-            own = [t for t in terms if (max_edits(t) if fuzzy is None or t in fuzzy else 0) == budget]
+            own = [t for t in terms if (max_edits(t) if edits is None else edits[t]) == budget]
             if own:
                 root = self._node(budget)
                 for t in own:
@@ -139,8 +153,8 @@ class Automaton:
                             out.add((self.kids[k][c], e + 1, x))
         return self._state(self._closed(out))
 
-    def run(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, ends and accepting states of the words that some term accepts."""
+    def run(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, ends and accepting states of the words that some term accepts, and the starts of all words."""
         solid = codes > 0
         begin = solid.copy()
         begin[1:] &= ~solid[:-1]
@@ -166,16 +180,16 @@ class Automaton:
             live = new > 0
             at, state, origin = at[live] + 1, new[live].astype(np.int64), origin[live]
         if not found:
-            return (np.zeros(0, np.int64),) * 3
+            return (*(np.zeros(0, np.int64),) * 3, first)
         s, e, q = (np.concatenate(x) for x in zip(*found))
         ok = np.array([self.accept[i] is not None for i in q.tolist()], bool) if len(q) else np.zeros(0, bool)
         s, e, q = s[ok], e[ok], q[ok]
         order = np.argsort(s)
-        return s[order], e[order], q[order]
+        return s[order], e[order], q[order], first
 
 
 def context_weight(text: str, start: int, end: int) -> float:
-    """QUOTED for a word in quotation marks of its line or after a reporting word, ADDRESSED near a "you", else 1."""
+    """QUOTED for a word in quotation marks of its line or after a reporting word, ADDRESSED after "you are a", "you" or their like, else 1."""
     left, right = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
     left, right = left.rsplit("\n", 1)[-1], right.split("\n", 1)[0]
     for o, c in zip(_OPEN, _CLOSE):
@@ -188,50 +202,103 @@ def context_weight(text: str, start: int, end: int) -> float:
             return QUOTED
     if _CUES.search(left):
         return QUOTED
-    return ADDRESSED if _YOU.search(left) or _YOU.search(right) else 1.0
+    return ADDRESSED if _FACE.search(left) else 1.0
 
 
 @dataclass(frozen=True)
 class Lexicon:
-    """terms, those of them whose misspellings count too, and misspelt forms that are words of their own."""
+    """terms with their weights, the edits that each forgives, and misspelt forms that are words of their own."""
 
-    terms: tuple[str, ...]
-    fuzzy: frozenset[str] = frozenset()
+    terms: tuple[tuple[str, float], ...]
+    edits: tuple[int, ...]
     words: frozenset[str] = frozenset()
+    weight: Mapping[str, float] = field(init=False, compare=False, repr=False)
+
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "weight", dict(self.terms))
 
     @staticmethod
-    def plain(terms: Sequence[str] = LEXICON) -> Lexicon:
-        own = tuple(sorted(set(terms)))
-        return Lexicon(own, frozenset(own))
+    def of(weights: Mapping[str, float], learned: frozenset[str] = frozenset(), words: frozenset[str] = frozenset()) -> Lexicon:
+        """Listed terms forgive what max_edits says, learned ones one edit at most: less is known of the words around them."""
+        terms = tuple(sorted(weights.items()))
+        return Lexicon(terms, tuple(min(max_edits(t), 1) if t in learned else max_edits(t) for t, _ in terms), words)
+
+    @staticmethod
+    def plain() -> Lexicon:
+        return Lexicon.of({**dict.fromkeys(ABUSE, 1.0), **dict.fromkeys(INNOCENT, MILD)})
+
+    def hit(self, term: str, edits: int) -> float:
+        x = self.weight[term]
+        return x if not edits else x * (TWO_EDITS if edits > 1 else LONG_EDIT if len(term) >= LONG else SHORT_EDIT)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, sample_rows: int) -> DataFrame:
-    """toxic, doc_id, text of at most sample_rows labelled documents (the least by hash of doc_id)."""
+    """toxic, doc_id, text of at most sample_rows labelled documents.
+
+    Each class of each language (where docs has lang) gives its least by hash of doc_id in turn, so rare ones teach too.
+    """
     own = labels.select(labels["doc_id"].alias("doc_id"), labels["toxic"].alias("toxic")).filter("doc_id IS NOT NULL AND toxic IS NOT NULL")
-    own = own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows)
+    own = own.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    lang = docs["lang"].cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    there = docs.filter(docs["text"].isNotNull()).select(docs["doc_id"].alias("doc_id"), lang.alias("lang"))
+    turn = F.row_number().over(Window.partitionBy("lang", "toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # a stratum sends sample_rows at most from each task
+    own = own.join(there, "doc_id").withColumn("turn", turn).filter(F.col("turn") <= sample_rows)
+    own = own.orderBy("turn", F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("doc_id", "toxic").distinct()
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).filter("text IS NOT NULL")
     return d.join(F.broadcast(own), "doc_id").select("toxic", "doc_id", "text")  # sample_rows bounds the side sent
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, base: Sequence[str] = LEXICON) -> Lexicon:
-    """base, and words that stand almost only in documents labelled toxic.
+def _words(column: str):
+    return F.regexp_extract_all(F.lower(column), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+
 
-    A learned term needs MIN_TOXIC_DOCS toxic documents of the sample, MIN_CONTEXTS different words before it (so
-    that copies of one document teach nothing) and MIN_PRECISION of its documents toxic; the best supported
-    MAX_TERMS are used. Then the sample's clean documents are searched for misspellings: a form found there
-    is a word of its own. Learned terms are matched exactly; only terms of base may be misspelt.
+def significant(n: int, contexts: int, clean: int, share: float, tested: int) -> bool:
+    """Whether a word of n toxic and some clean documents is toxic beyond chance, whatever the sample's size.
+
+    Were it spread like all words, that n documents are toxic has chance share^n; tested words try their luck. Documents with
+    the same word before it may be copies, so no more of them count than there are different words before it.
+    """
+    k = min(n, contexts)
+    return n >= MIN_PRECISION * (n + clean) and 0 < share < 1 and k * math.log(1 / share) >= math.log(max(1, tested) / CHANCE)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Lexicon:
+    """The listed words, each weighed by the labels that know it, and words that the labels show to be toxic.
+
+    A learned term is significant() and of any length; all such terms are used. Then the sample's clean documents are
+    searched for misspellings: a form found there is a word of its own. Empty labels give the plain list.
     """
     d = written(_sample(docs, labels, sample_rows), "toxic-sample")
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
-    w = d.select("toxic", "doc_id", w.alias("w"))
-    w = w.select("toxic", "doc_id", F.explode(F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))).alias("x"))
-    w = w.select("toxic", "doc_id", F.col("x.term").alias("term"), F.col("x.before").alias("before")).filter(F.length("term").between(3, 40))
-    bad = w.filter("toxic > 0").groupBy("term").agg(F.countDistinct("doc_id").alias("n"), F.countDistinct("before").alias("contexts"))
-    bad = written(bad.filter((F.col("n") >= MIN_TOXIC_DOCS) & (F.col("contexts") >= MIN_CONTEXTS)), "toxic-terms")
-    good = w.filter("toxic = 0").join(F.broadcast(bad.select("term")), "term", "left_semi").groupBy("term").agg(F.countDistinct("doc_id").alias("m"))
-    best = bad.join(good, "term", "left").filter(F.col("n") >= MIN_PRECISION * (F.col("n") + F.coalesce("m", F.lit(0))))
-    learned = [r["term"] for r in best.orderBy(F.desc("n"), "term").limit(MAX_TERMS).collect()]
-    lex = Lexicon(tuple(sorted({*base, *learned})), frozenset(base))
+    sizes = {r["toxic"]: r["n"] for r in d.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    bad = d.filter("toxic > 0").select(_words("text").alias("w"))
+    # a row for each word of a document, and one for each pair of it and a word before it
+    pairs = F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))
+    alone = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(None).cast("string").alias("before")))
+    bad = bad.select(F.explode(F.concat(alone, F.array_distinct(F.filter(pairs, lambda x: x["term"].isNotNull())))).alias("x"))
+    bad = bad.groupBy(F.col("x.term").alias("term"), F.col("x.before").alias("before")).agg(F.count(F.lit(1)).alias("rows"))
+    bad = bad.groupBy("term").agg(F.sum(F.when(F.col("before").isNull(), F.col("rows"))).alias("n"), F.count("before").alias("contexts"))
+    bad = written(bad.filter("n >= 2 AND contexts >= 2"), "toxic-terms")
+    known = [*ABUSE, *INNOCENT]
+    sought = bad.select("term").unionByName(d.sparkSession.createDataFrame([(t,) for t in known], "term string")).distinct()
+    good = d.filter("toxic = 0").select(F.explode(F.array_distinct(_words("text"))).alias("term"))
+    good = good.join(F.broadcast(sought), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("m"))  # words of the sample
+    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+    tested = bad.count()
+    least = math.ceil(math.log(max(1, tested) / CHANCE) / math.log(1 / share)) if 0 < share < 1 else 1
+    both = bad.join(good, "term", "full").select("term", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("contexts", F.lit(0)).alias("contexts"), F.coalesce("m", F.lit(0)).alias("m"))
+    rows = both.filter(F.col("term").isin(*known) | ((F.least("n", "contexts") >= least) & (F.col("n") >= MIN_PRECISION * (F.col("n") + F.col("m"))))).collect()
+    weights, learned = dict(Lexicon.plain().terms), set()
+    for r in rows:
+        precision = r["n"] / max(1, r["n"] + r["m"])
+        if r["term"] not in weights:
+            if significant(r["n"], r["contexts"], r["m"], share, tested):
+                weights[r["term"]] = round(r["n"] / (r["n"] + r["m"] + DOUBT), 4)
+                learned.add(r["term"])
+        elif r["n"] + r["m"] >= KNOWN:
+            weights[r["term"]] = min(weights[r["term"]], precision)
+    weights = {t: x for t, x in weights.items() if x >= FAIR}
+    lex = Lexicon.of(weights, frozenset(learned))
     sent = d.sparkSession.sparkContext.broadcast(lex)
 
     def forms(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,25 +307,29 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, ba
             yield pa.record_batch([pa.array(sorted(seen), pa.string())], names=["form"])
 
     clean = d.filter("toxic = 0").select("text").mapInArrow(forms, "form string").distinct()
-    return Lexicon(lex.terms, lex.fuzzy, frozenset(r["form"] for r in clean.collect()))
+    return Lexicon(lex.terms, lex.edits, frozenset(r["form"] for r in clean.collect()))
 
 
-HITS = "doc_id long, score double, n_hits int, terms array<string>"
+HITS = "score double, n_hits int, terms array<string>"
 _ready: dict[tuple, Automaton] = {}
 
 
 def _automaton(lex: Lexicon) -> Automaton:
-    if (lex.terms, lex.fuzzy) not in _ready:
+    if (lex.terms, lex.edits) not in _ready:
         _ready.clear()
-        _ready[lex.terms, lex.fuzzy] = Automaton(lex.terms, lex.fuzzy)
-    return _ready[lex.terms, lex.fuzzy]
+        names = [t for t, _ in lex.terms]
+        _ready[lex.terms, lex.edits] = Automaton(names, dict(zip(names, lex.edits)))
+    return _ready[lex.terms, lex.edits]
 
 
-def text_hits(texts: list[str | None], lex: Lexicon, limit: int = 1 << 21) -> Iterator[tuple[int, float, list[tuple[str, str, int]]]]:
-    """Index, score and hits (term, form as written in small letters, edits) of each text with a hit.
+def total_score(forms: Sequence[Sequence[float]], words: int) -> float:
+    """The score of a text of so many words whose forms have these weights at each of their places."""
+    strong = sum(x / 2**i for own in forms for i, x in enumerate(sorted(own, reverse=True)[:50]))
+    return round(strong * min(1.0, sum(map(sum, forms)) * SPAN / max(1, words)), 6)
 
-    Each form counts once in a text, at its weightiest place.
-    """
+
+def text_hits(texts: list[str | None], lex: Lexicon, limit: int = 1 << 21) -> Iterator[tuple[int, float, list[tuple[str, str, int]]]]:
+    """Index, score and hits (term, form as written in small letters, edits) of each text with a hit; each form once."""
     auto = _automaton(lex)
     i = 0
     while i < len(texts):
@@ -268,32 +339,32 @@ def text_hits(texts: list[str | None], lex: Lexicon, limit: int = 1 << 21) -> It
             j += 1
         part = [t or "" for t in texts[i:j]]
         codes = auto.classes[np.frombuffer("\n".join(part).encode("utf-32-le", "surrogatepass"), np.uint32)]
-        s, e, q = auto.run(codes)
+        s, e, q, starts = auto.run(codes)
         if len(s):
-            begins = np.cumsum([0, *(len(t) + 1 for t in part[:-1])])
+            begins = np.cumsum([0, *(len(t) + 1 for t in part)])
             which = np.searchsorted(begins, s, "right") - 1
-            found: dict[int, dict[str, tuple[float, str, int]]] = {}
+            words = np.diff(np.searchsorted(starts, begins))
+            found: dict[int, dict[str, tuple[list[float], str, int]]] = {}
             for d, a, b, state in zip(which.tolist(), s.tolist(), e.tolist(), q.tolist()):
                 edits, term = auto.accept[state]
                 base = int(begins[d])
                 form = part[d][a - base : b - base].lower()
                 if edits and form in lex.words:
                     continue
-                x = EDIT_WEIGHTS[edits] * context_weight(part[d], a - base, b - base)
-                own = found.setdefault(d, {})
-                if form not in own or own[form][0] < x:
-                    own[form] = (x, term, edits)
+                x = lex.hit(term, edits) * context_weight(part[d], a - base, b - base)
+                found.setdefault(d, {}).setdefault(form, ([], term, edits))[0].append(x)
             for d, own in found.items():
-                yield i + d, round(sum(x for x, _, _ in own.values()), 6), [(t, f, n) for f, (_, t, n) in sorted(own.items())]
+                yield i + d, total_score([x for x, _, _ in own.values()], int(words[d])), [(t, f, n) for f, (_, t, n) in sorted(own.items())]
         i = j
 
 
 def score_toxicity(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """doc_id, score, n_hits (different forms), terms (each once, sorted) of every row with a hit.
 
-    docs has doc_id and text; other columns are ignored, whatever their names. Null, empty and clean
+    docs has doc_id (of any type) and text; other columns are ignored, whatever their names. Null, empty and clean
     texts give no row. Texts of any length are read whole. Repeated rows give repeated results, a null
-    doc_id is carried, an empty table gives no rows. One scan, no shuffle.
+    doc_id is carried, an empty table gives no rows. Of terms equally near to a form the first in order counts.
+    One scan, no shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast(lex)
 
@@ -304,7 +375,7 @@ def score_toxicity(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 at, score, hits = zip(*found)
                 yield pa.record_batch(
                     [
-                        b.column(0).take(pa.array(at)).cast(pa.int64()),
+                        b.column(0).take(pa.array(at)),
                         pa.array(score, pa.float64()),
                         pa.array([len(h) for h in hits], pa.int32()),
                         pa.array([sorted({t for t, _, _ in h}) for h in hits], pa.list_(pa.string())),
@@ -312,19 +383,23 @@ def score_toxicity(docs: DataFrame, lex: Lexicon) -> DataFrame:
                     names=["doc_id", "score", "n_hits", "terms"],
                 )
 
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, HITS)
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, {HITS}")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, n_hits, terms of the toxic rows, by LEXICON and what labels teach.
+    """doc_id, score, n_hits, terms of the toxic rows, by the list and by what labels teach.
 
-    labels has doc_id and toxic (0 or 1); null entries teach nothing, and without labels LEXICON stands alone.
+    labels has doc_id (of docs' type) and toxic (0 or 1); null entries teach nothing, of repeated doc_ids the greatest toxic
+    counts, and without labels the list stands alone. Cases of docs as in score_toxicity.
     """
     return score_toxicity(docs, learn(docs, labels)).filter(F.col("score") >= threshold)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, with all their columns, that aren't toxic. Null and empty texts stay."""
+    """The rows of docs, with all their columns, that aren't toxic by toxic_documents.
+
+    Null and empty texts stay. Repeated rows stay or go together. An empty table gives no rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs, labels))
     at = docs.columns.index("text")
 
