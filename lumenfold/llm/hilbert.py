@@ -5,8 +5,9 @@ Hilbert curve through the grid; the curve is cut into runs of about SHARD_SIZE.
 near on the curve are near in every dimension, so a file of one run has narrow ranges in all of them
 and a filter on any prunes files.
 
-No global sort: quantiles and run boundaries come from histograms of bounded size, so a
-document's shard follows from its own row. Writing shuffles once, on the shard.
+No global sort: quantiles and run boundaries come from histograms, so a document's shard follows from its own row.
+Ten bits a dimension tell apart all that the dimensions can tell: a number's histogram has some 2000 buckets, and
+three dimensions have 2^30 cells, more than shards of 64 MB in an exabyte. Writing shuffles once, on the shard.
 """
 
 from __future__ import annotations
@@ -19,9 +20,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, written
+from .common import fresh, written
 
-BITS, SHARD_SIZE = 4, 64_000_000
+BITS, SHARD_SIZE = 10, 64_000_000
+#: The leading bits of the curve by which running sums are cut.
+COARSE = 12
 
 
 @dataclass(frozen=True)
@@ -73,33 +76,31 @@ def _fine(d: Dimension, c: Column) -> Column:
 
 
 def cell_table(docs: DataFrame, d: Dimension, bits: int) -> DataFrame:
-    """fine, cell: equal-count cells from a histogram over all documents.
+    """fine, cell: equal-count cells from a histogram over all documents, written once.
 
-    A numeric dimension has a few thousand buckets at most. Of a name dimension there are as many
-    as names; the table is joined, and sent to the tasks only if Spark finds it small.
+    Of a numeric dimension the histogram has some thousand buckets, of a name dimension as many as names. Running counts are
+    made within ranges of buckets and over the ranges' sums, so no task sees all names, whatever they begin with.
     """
     h = docs.select(_fine(d, docs[d.column]).alias("fine")).groupBy("fine").agg(F.count(F.lit(1)).alias("n"))
-    if not d.numeric:  # buckets of names, so that the running count needs no single task over all names
-        h = h.withColumn("part", F.substring("fine", 1, 3))
-        p = h.groupBy("part").agg(F.sum("n").alias("m"))
-        over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-        p = p.select(F.col("part").alias("part2"), F.coalesce(F.sum("m").over(over), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
-        inside = Window.partitionBy("part").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-        h = h.join(p, F.col("part") == F.col("part2")).withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
-    else:
-        over = Window.orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
-        h = h.withColumn("before", F.coalesce(F.sum("n").over(over), F.lit(0))).withColumn("total", F.sum("n").over(Window.partitionBy()))
+    h = written(h.repartitionByRange("fine").withColumn("part", F.spark_partition_id()), "hilbert-histogram")
+    # a row a range
+    p = h.groupBy("part").agg(F.sum("n").alias("m"))
+    over = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    p = p.select(F.col("part").alias("part2"), F.coalesce(F.sum("m").over(over), F.lit(0)).alias("base"), F.sum("m").over(Window.partitionBy()).alias("total"))
+    inside = Window.partitionBy("part").orderBy("fine").rowsBetween(Window.unboundedPreceding, -1)
+    h = h.join(p, F.col("part") == F.col("part2")).withColumn("before", F.col("base") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     # a bucket lies in the cell of its middle document
-    return h.select("fine", F.least(F.floor((F.col("before") + F.col("n") / 2) * (1 << bits) / F.col("total")), F.lit((1 << bits) - 1)).cast("int").alias("cell"))
+    return written(h.select("fine", F.least(F.floor((F.col("before") + F.col("n") / 2) * (1 << bits) / F.col("total")), F.lit((1 << bits) - 1)).cast("int").alias("cell")), "hilbert-cells")
 
 
 def assign_shards(docs: DataFrame, dimensions: Sequence[Dimension] = DIMENSIONS, bits: int = BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
     """docs' columns, and hilbert_index and shard (renamed with underscores where docs has such names).
 
-    docs has doc_id, n_chars and the dimensions' columns. A shard holds about shard_size of n_chars (null and
-    negative ones weigh 0, every document 1 more). A curve cell larger than a shard is spread over several
-    by the hash of doc_id. Nulls have a cell of their own at the low end. Repeated rows share a
-    shard. An empty table gives no rows.
+    docs has doc_id (of any type), n_chars and the dimensions' columns. A shard holds about shard_size of n_chars (null and
+    negative ones weigh 0, every document 1 more). Documents of one cell are alike in every dimension, as far as cells
+    tell, and nothing prunes between them: a cell larger than a shard is spread over several by the hash of doc_id,
+    or of the row where that is null. Nulls of a dimension have a cell of their own at the low end. Ties and repeated rows
+    share a cell, and a shard unless the cell is spread. Texts aren't read. An empty table gives no rows.
     """
     h_col, s_col = fresh(docs, "hilbert_index", "shard")
     cells = fresh(docs, *[f"cell_{i}" for i in range(len(dimensions))])
@@ -114,23 +115,50 @@ def assign_shards(docs: DataFrame, dimensions: Sequence[Dimension] = DIMENSIONS,
         return pd.Series(hilbert_index(np.stack([c.to_numpy() for c in cols], 1), bits))
 
     weight = F.greatest(F.coalesce(docs["n_chars"], F.lit(0)), F.lit(0)) + 1
-    # at most 2^(bits * dimensions) cells of the curve: the table of runs is bounded
+    # a row for each cell of the curve that documents lie in
     grid = d.groupBy(*cells).agg(F.sum(weight).alias("w"))
     grid = grid.select(*cells, index(*[F.col(c) for c in cells]).alias(h_col), "w")
-    over = Window.orderBy(h_col).rowsBetween(Window.unboundedPreceding, -1)
-    grid = grid.withColumn("before", F.coalesce(F.sum("w").over(over), F.lit(0)))
+    top = F.shiftright(F.col(h_col), max(0, bits * len(dimensions) - COARSE))
+    grid = written(grid.withColumn("top", top), "hilbert-grid")
+    over = Window.orderBy("top").rowsBetween(Window.unboundedPreceding, -1)  # 2^COARSE rows at most
+    base = grid.groupBy("top").agg(F.sum("w").alias("m")).select(F.col("top").alias("top2"), F.coalesce(F.sum("m").over(over), F.lit(0)).alias("front"))
+    inside = Window.partitionBy("top").orderBy(h_col).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.join(base, F.col("top") == F.col("top2")).withColumn("before", F.col("front") + F.coalesce(F.sum("w").over(inside), F.lit(0)))
     grid = written(grid.select(*cells, h_col, F.expr(f"before div {shard_size}").alias("base"), F.ceil(F.col("w") / shard_size).cast("int").alias("split")), "hilbert-runs")
-    base, split = fresh(d, "run_base", "run_split")
-    g = grid.select(*[F.col(c).alias(c + "_g") for c in cells], h_col, F.col("base").alias(base), F.col("split").alias(split))
-    on = [F.col(c) == F.col(c + "_g") for c in cells]
-    d = d.join(g, on)
-    spread = F.when(F.col(split) > 1, F.pmod(F.xxhash64(docs["doc_id"]), F.col(split))).otherwise(F.lit(0))
-    return d.select(*[docs[c] for c in docs.columns], h_col, (F.col(base) + spread).alias(s_col))
+    first, split = fresh(d, "run_base", "run_split")
+    g = grid.select(*[F.col(c).alias(c + "_g") for c in cells], h_col, F.col("base").alias(first), F.col("split").alias(split))
+    d = d.join(g, [F.col(c) == F.col(c + "_g") for c in cells])
+    row = [docs[c] for c, t in docs.dtypes if not t.startswith("map")]
+    own = F.when(docs["doc_id"].isNotNull(), F.xxhash64(docs["doc_id"])).otherwise(F.xxhash64(*row))
+    spread = F.when(F.col(split) > 1, F.pmod(own, F.col(split))).otherwise(F.lit(0))
+    return d.select(*[docs[c] for c in docs.columns], h_col, (F.col(first) + spread).alias(s_col))
 
 
-def write_shards(docs: DataFrame, path: str, dimensions: Sequence[Dimension] = DIMENSIONS, bits: int = BITS, shard_size: int = SHARD_SIZE) -> None:
-    """Write docs to path, a folder per shard, rows in curve order: Parquet's footers then prune by every dimension."""
+def write_shards(docs: DataFrame, path: str, dimensions: Sequence[Dimension] = DIMENSIONS, bits: int = BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """Write docs to path, a folder per shard, rows in curve order: Parquet's footers then prune by every dimension.
+
+    Returns what was written: docs' columns, hilbert_index and shard. Cases as in assign_shards.
+    """
     out = assign_shards(docs, dimensions, bits, shard_size)
     h_col, s_col = out.columns[-2:]
-    keep = [quoted(c) for c in docs.columns]
-    out.repartition(F.col(s_col)).sortWithinPartitions(s_col, h_col).select(*keep, s_col).write.partitionBy(s_col).parquet(path)
+    out.repartition(F.col(s_col)).sortWithinPartitions(s_col, h_col).write.partitionBy(s_col).parquet(path)
+    return docs.sparkSession.read.schema(out.schema).parquet(path)
+
+
+def shard_report(shards: DataFrame, dimensions: Sequence[Dimension] = DIMENSIONS) -> DataFrame:
+    """shard, documents, size, and least and greatest value of each dimension, of what write_shards returned."""
+    s = shards.columns[-1]
+    ranges = [f(d.column).alias(f"{n}_{d.column}") for d in dimensions for n, f in (("min", F.min), ("max", F.max))]
+    return shards.groupBy(s).agg(F.count(F.lit(1)).alias("documents"), F.sum("n_chars").alias("size"), *ranges)
+
+
+def shard_documents(docs: DataFrame, path: str, dimensions: Sequence[Dimension] = DIMENSIONS, bits: int = BITS, shard_size: int = SHARD_SIZE) -> DataFrame:
+    """doc_id, hilbert_index, shard, shard_documents and the shard's range in each dimension, of every row as it was written to path.
+
+    docs is written whole, with all its columns. Cases as in assign_shards.
+    """
+    w = write_shards(docs, path, dimensions, bits, shard_size)
+    h_col, s_col = w.columns[-2:]
+    own = w.select(F.col("doc_id"), F.col(h_col).alias("hilbert_index"), F.col(s_col).alias("shard"))
+    r = shard_report(w, dimensions).drop("size").withColumnRenamed(s_col, "shard").withColumnRenamed("documents", "shard_documents")
+    return own.join(r, "shard").select("doc_id", "hilbert_index", "shard", "shard_documents", *[c for c in r.columns if c not in ("shard", "shard_documents")])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, hilbert, lm, mixing, packing, quality, simhash, sketch, toxicity, warc
-from .common import load
+from .common import load, shared_path
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,8 +27,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return hilbert.assign_shards(docs)
+    return hilbert.shard_documents(load(spark, sf_dir, "documents"), shared_path(spark, "shards"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sketch.sketch_documents(load(spark, sf_dir, "documents"))
+    return sketch.fingerprint_corpus(load(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
