@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import arabic_normalize, chapter_key, contains_arabic, match_score, strip_tags
 from ..schema import IDENTITY
+from ..storage import written
 
 
 def merge_bilingual(english: DataFrame, arabic: DataFrame) -> DataFrame:
@@ -33,22 +34,24 @@ SAME_AS = r"^Same as no\.? *[0-9]+ *\.?$"
 SIMILAR_TO = r"^Similar to no\.? *[0-9]+ *\.?$"
 
 
-def resolve_same_as(records: DataFrame, rounds: int = 20) -> DataFrame:
+def resolve_same_as(records: DataFrame) -> DataFrame:
     """records (chapter, number, pos, english) with "Same as no. N" replaced by the text it names.
 
-    The name means the first record so far of that chapter and number. References may lead to references: chains are
-    halved each round, and end when nothing is left to resolve. Text without a referent stays.
+    pos orders all records and is unique. The name means the first record so far of that chapter and number: the first one
+    of all, if it stands above. References may lead to references: chains are halved each round until none is left
+    to shorten. Text without a referent stays.
     """
     ref = F.trim("english").rlike(SAME_AS)
     r = records.withColumn("target", F.when(ref, F.regexp_replace("english", "[^0-9]", "")))
-    first = records.select(F.col("chapter").alias("c2"), F.col("number").alias("n2"), F.col("pos").alias("p2"))
-    named = r.filter("target IS NOT NULL").join(first, (F.col("chapter").eqNullSafe(F.col("c2"))) & (F.col("target") == F.col("n2")) & (F.col("p2") < F.col("pos")))
-    links = named.groupBy("pos").agg(F.min("p2").alias("to"))
-    for _ in range(rounds):
-        onward = links.select(F.col("pos").alias("to"), F.col("to").alias("next"))
-        links2 = links.join(onward, "to", "left").select("pos", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")).persist()
-        links = links2.select("pos", "to")
-        if links2.filter("moved").isEmpty():
+    first = records.groupBy(F.col("chapter").alias("c2"), F.col("number").alias("n2")).agg(F.min("pos").alias("to"))
+    named = r.filter("target IS NOT NULL").select("chapter", "target", "pos")
+    links = named.join(first, F.col("chapter").eqNullSafe(F.col("c2")) & (F.col("target") == F.col("n2"))).filter(F.col("to") < F.col("pos"))
+    links = written(links.select("pos", "to"), "same-as")
+    while True:
+        onward = links.select(F.col("pos").alias("at"), F.col("to").alias("next"))
+        links = written(links.join(onward, F.col("to") == F.col("at"), "left").select("pos", F.coalesce("next", "to").alias("to"), F.col("next").isNotNull().alias("moved")), "same-as")
+        moved, links = links.filter("moved"), links.select("pos", "to")
+        if moved.isEmpty():
             break
     text = records.select(F.col("pos").alias("to"), F.col("english").alias("found"))
     out = r.join(links, "pos", "left").join(text, "to", "left")

@@ -5,6 +5,8 @@ Pages come as (doc, page, text); how text got out of a file or an image is anoth
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,7 +16,6 @@ from . import joins, lines as L
 _HEADER_WORDS = "CHAPTER|CHAPATER|CHHAPTER|CHAPER|CHATER|CHAPAATER|CHAPPTER|CAHPTER"
 #: Headers, page numbers and watermarks of the end-marked style.
 END_STYLE_NOISE = (
-    r"hubeali\.com",
     r"^Alkafi Volume ",
     r"Al[ -]Kafi( –| -)? V",
     r"The Book Of",
@@ -137,11 +138,11 @@ def arabic_lines(pages: DataFrame) -> DataFrame:
     return d.select("chapter", F.col("number").cast("string").alias("number"), pos.alias("pos"), text.alias("line"), "chapter_arabic")
 
 
-def end_marked_book(pages: DataFrame, book: str) -> DataFrame:
+def end_marked_book(pages: DataFrame, book: str, watermarks: Sequence[str] = ()) -> DataFrame:
     """Records that end with their number, under VOLUME, THE BOOK OF and CHAPTER headers.
 
     Returns book, part, volume, section, chapter, number, english, arabic. Text counts only once all headers are known;
-    pages of volume 8 are left out; the number is the trailing digits.
+    pages of volume 8 are left out; the number is the trailing digits. Lines that match a watermark (a site's name, say) are noise.
     """
     p = L.drop_contents(pages).withColumn("text", X.rewrite_suffixes(F.col("text")))
     d = L.lines(p)
@@ -149,7 +150,7 @@ def end_marked_book(pages: DataFrame, book: str) -> DataFrame:
     up = F.upper(t)
     arabic = F.coalesce(X.is_probably_arabic(line), F.lit(False))
     noise = F.lit(False)
-    for n in END_STYLE_NOISE:
+    for n in (*END_STYLE_NOISE, *watermarks):
         noise = noise | line.rlike(n)
     vol, sec = up.rlike(r"^VOLUME[\s\xA0][0-9]+$"), t.startswith("THE BOOK OF")
     chap = up.rlike(rf"^({_HEADER_WORDS})[\s\xA0]*[0-9]+[\s\xA0]–.*") & ~line.contains(".")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Collection
+from typing import Protocol
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import same_elements
+from ..schema import RECORD, as_records, from_record_json, record_json
 
 EDITABLE = ("book", "number", "source", "part", "edition", "chapter", "publisher", "section", "volume", "tags", "notes", "english", "arabic")
 
@@ -42,6 +45,46 @@ def latest_versions(versions: DataFrame) -> DataFrame:
     return versions.withColumn("nth_version", F.row_number().over(w)).filter("nth_version = 1").drop("nth_version")
 
 
+class Cache(Protocol):
+    def clear(self) -> None: ...
+
+
+VERSIONED = T.StructType([*RECORD.fields, T.StructField("version", T.LongType())])
+
+
+class Versions:
+    """Records as versions under a folder: an edit appends, a reader takes the highest version of each id."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def append(self, records: DataFrame, version: Column | None = None) -> None:
+        v = F.lit(0) if version is None else version
+        out = as_records(records).select(*RECORD.fieldNames())
+        out = out.withColumn("version", v.cast("long")) if version is None else records.select(*RECORD.fieldNames(), v.cast("long").alias("version"))
+        out.write.mode("append").parquet(self.path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(VERSIONED).parquet(self.path)
+
+    def latest(self) -> DataFrame:
+        return latest_versions(self.all())
+
+    def edit(self, patches: DataFrame, user: str | None = None, allowed: Collection[str] | None = None, caches: Collection[Cache] = ()) -> None:
+        """Check the user, merge patches into the latest versions of their records, check the results, append them, drop caches.
+
+        Only patched records are read whole and written. A record that can't be read back from its own JSON fails
+        the edit before anything is written. Patches of unknown ids change nothing.
+        """
+        own = self.all().join(patches.select(F.col("_id").alias("patched")).distinct(), F.col("_id") == F.col("patched"), "left_semi")
+        merged = apply_patches(latest_versions(own), patches, user, allowed)
+        back = from_record_json(record_json(merged), strict=True)
+        checked = merged.withColumn("readable", back).filter(F.col("readable").isNotNull()).drop("readable")
+        self.append(checked, F.col("version") + 1)
+        for c in caches:
+            c.clear()
+
+
 def changed_fields(before: Column, after: Column, fields: Collection[str], lists: Collection[str] = ("tags",)) -> Column:
     """Names of fields of struct after that have a value unlike before's; lists are equal in any order. Fields without a value before don't count."""
     out = []

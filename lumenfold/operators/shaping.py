@@ -42,3 +42,20 @@ def share_text(records: DataFrame, site: str, limit: int = 260) -> Column:
     desc = F.substring(desc, F.lit(1), F.greatest(F.lit(0), F.lit(limit) - F.length(url)))
     desc = F.replace(F.replace(desc, F.lit('<span class="highlight">'), F.lit("")), F.lit("</span>"), F.lit(""))
     return encode_component(F.trim(F.regexp_replace(desc, "(^,)|(,$)", "")))
+
+
+def gradings_of(records: DataFrame) -> DataFrame:
+    """_id, nth (from 0), grader, rationale, grading: a row a grading."""
+    g = records.select("_id", F.posexplode("gradings").alias("nth", "g"))
+    return g.select("_id", "nth", "g.grader", "g.rationale", "g.grading")
+
+
+def related_of(records: DataFrame) -> DataFrame:
+    """_id, nth (from 0), url, title, description: a row a related page."""
+    r = records.select("_id", F.posexplode("related").alias("nth", "r"))
+    return r.select("_id", "nth", "r.url", "r.title", "r.description")
+
+
+def history_of(records: DataFrame) -> DataFrame:
+    """_id, nth (from 0), note: a row an edit, the oldest first."""
+    return records.select("_id", F.posexplode("history").alias("nth", "note"))

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import time
+from collections.abc import Callable, Hashable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_accents, strip_accents_py
@@ -33,36 +35,42 @@ def top_terms(records: DataFrame, prefix: str, size: int = 10) -> DataFrame:
     return t.filter(match).groupBy("term").agg(F.count(F.lit(1)).alias("docs")).orderBy(F.desc("docs"), "term").limit(size)
 
 
-def significant_field(records: DataFrame, matched: DataFrame, field: str) -> DataFrame:
-    """term, fg, bg, score over one field: JLH of matched documents against all. matched has doc_id.
+def significant_field(records: DataFrame, hit: Column, field: str) -> DataFrame:
+    """term, fg, bg, score over one field: JLH of the records for which hit is true against all.
 
-    Only documents that have the field count.
+    Only documents that have the field count. One scan and one aggregation: hit is carried along in the row, and the
+    numbers of documents are the counts of a term of their own.
     """
-    own = records.filter(F.col(field).isNotNull())
-    t = _distinct_terms(own, field)
-    m = matched.select(F.col("doc_id").alias("m_id")).distinct()
-    # one pass: each term's documents, and those of them that match
-    counts = t.join(m, F.col("doc_id") == F.col("m_id"), "left").groupBy("term").agg(F.count("m_id").alias("fg"), F.count(F.lit(1)).alias("bg"))
-    sizes = own.select("_id").join(m, F.col("_id") == F.col("m_id"), "left").agg(F.count("m_id").alias("fg_n"), F.count(F.lit(1)).alias("bg_n"))
-    s = counts.filter(F.col("fg") >= MINIMUM_DOCS).crossJoin(F.broadcast(sizes))  # one row
+    terms = F.array_append(F.array_distinct(tokens(F.col(field), field == "arabic")), F.lit(None).cast("string"))
+    own = records.filter(F.col(field).isNotNull()).select(F.coalesce(hit, F.lit(False)).cast("int").alias("hit"), terms.alias("terms"))
+    t = own.select("hit", F.explode_outer("terms").alias("term"))  # hit stands below the explosion: it is found once a record
+    # all is told from a term after the aggregation, so that both uses of counts are one
+    counts = t.groupBy("term").agg(F.sum("hit").alias("fg"), F.count(F.lit(1)).alias("bg"), F.max(F.col("term").isNull()).alias("all"))
+    sizes = counts.filter("all").select(F.col("fg").alias("fg_n"), F.col("bg").alias("bg_n"))
+    s = counts.filter((F.col("fg") >= MINIMUM_DOCS) & ~F.col("all")).crossJoin(F.broadcast(sizes))  # one row
     f, b = F.col("fg") / F.col("fg_n"), F.col("bg") / F.col("bg_n")
     return s.select("term", "fg", "bg", F.when(f > b, (f - b) * (f / b)).otherwise(F.lit(0.0)).alias("score")).filter("score > 0")
 
 
-def matching_docs(records: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id of records that hold a term in either language, in both where eight or more terms were given."""
+def matches(records: DataFrame, terms: list[str]) -> Column:
+    """Whether a record holds a term in either language; in both where eight or more terms were given."""
     usable = searchable_terms(terms)
     arabic = [strip_accents_py(t.strip()) for t in usable if _arabic(t)]
     english = [strip_accents_py(t.strip().lower()) for t in usable if not _arabic(t)]
     hit = lambda field, ts: F.arrays_overlap(tokens(F.col(field), field == "arabic"), F.array(*[F.lit(t) for t in ts])) if ts else F.lit(False)
     n = sum(hit(f, ts).cast("int") for f, ts in (("english", english), ("arabic", arabic)) if f in records.columns)
-    return records.filter(n >= max(1, int(len(terms) * 0.25))).select(F.col("_id").alias("doc_id"))
+    return n >= max(1, int(len(terms) * 0.25))
+
+
+def matching_docs(records: DataFrame, terms: list[str]) -> DataFrame:
+    """doc_id of the records that match."""
+    return records.filter(matches(records, terms)).select(F.col("_id").alias("doc_id"))
 
 
 def significant_terms(records: DataFrame, terms: list[str], size: int = 5) -> DataFrame:
     """term, score: what documents with the given terms have more often than others; the inputs themselves left out."""
     check_size(size)
-    m = matching_docs(records, terms)
+    m = matches(records, terms)
     both = None
     for rank, field in enumerate(("english", "arabic")):
         if field in records.columns:
@@ -80,3 +88,31 @@ def index_top_terms(index: Index, prefix: str, size: int = 10) -> DataFrame:
     field = "arabic" if _arabic(prefix) else "english"
     match = F.col("term").rlike(f"^(?:{prefix}.*)$") if _META.search(prefix) else F.col("term").startswith(prefix)
     return index.lexicon.filter((F.col("field") == field) & match).select("term", F.col("df").alias("docs")).orderBy(F.desc("docs"), "term").limit(size)
+
+
+class TermCache:
+    """Results kept by key: at most size of them, for ttl seconds each; the least used goes first.
+
+    For top and significant terms, which clients ask for again and again; an edit clears it.
+    """
+
+    def __init__(self, size: int = 1000, ttl: float = 86_400, clock: Callable[[], float] = time.monotonic):
+        self.size, self.ttl, self.clock = size, ttl, clock
+        self.held: dict[Hashable, list] = {}
+
+    def get(self, key: Hashable, make: Callable[[], DataFrame]) -> list:
+        """The rows of make(), which is run only where key isn't held."""
+        now = self.clock()
+        own = self.held.get(key)
+        if own and now - own[0] < self.ttl:
+            own[1] += 1
+            return own[2]
+        rows = make().collect()  # ten terms at most
+        self.held.pop(key, None)
+        if len(self.held) >= self.size:
+            self.held.pop(min(self.held, key=lambda k: (self.held[k][1], self.held[k][0])))
+        self.held[key] = [now, 1, rows]
+        return rows
+
+    def clear(self) -> None:
+        self.held.clear()

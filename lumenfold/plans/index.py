@@ -1,14 +1,14 @@
 """The index: postings, lexicon and field statistics as DataFrames.
 
-In memory it is a plan over the corpus, so a term filter reaches the tokens before anything is
-shuffled. Written, postings are range-partitioned and sorted by term: Parquet's row groups then
-prune to the query's terms, whatever the corpus' size.
+Written, postings are range-partitioned and sorted by term: Parquet's row groups then
+prune to the query's terms, whatever the corpus' size. In memory it is a plan over the corpus.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,13 +28,17 @@ def tokens(c: Column, arabic: bool = False) -> Column:
 
 @dataclass(frozen=True)
 class Index:
-    """postings (doc_id, field, term, tf, pos, dl), lexicon (field, term, df), stats (field, n, avgdl), records."""
+    """postings (doc_id, field, term, tf, pos, dl), lexicon (field, term, df), stats (field, n, avgdl), records.
+
+    synonyms (group_id, term), where given, widen the terms of a query.
+    """
 
     postings: DataFrame
     lexicon: DataFrame
     stats: DataFrame
     records: DataFrame
     fields: tuple[str, ...]
+    synonyms: DataFrame | None = None
 
     @staticmethod
     def of(records: DataFrame, fields: Sequence[str], key: str = "_id") -> Index:
@@ -51,7 +55,8 @@ class Index:
         return Index(postings, lexicon, stats, records, tuple(fields))
 
     def write(self, path: str) -> Index:
-        self.postings.repartitionByRange("term", "field").sortWithinPartitions("term", "field").write.parquet(f"{path}/postings")
+        # doc_id is in the ranges, so that a term of a third of all documents spreads over files
+        self.postings.repartitionByRange("term", "field", "doc_id").sortWithinPartitions("term", "field").write.parquet(f"{path}/postings")
         spark = self.postings.sparkSession
         postings = spark.read.parquet(f"{path}/postings")
         lexicon = postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
@@ -65,3 +70,19 @@ class Index:
 
     def scoped(self, field: str | None) -> tuple[str, ...]:
         return self.fields if field in (None, "*") else (field,)
+
+    def with_synonyms(self, synonyms: DataFrame) -> Index:
+        return replace(self, synonyms=synonyms)
+
+    @cached_property
+    def sizes(self) -> dict[str, tuple[int, float]]:
+        """Of each field the documents that have it and their mean length: a row a field comes to the driver, once."""
+        return {r["field"]: (r["n"], r["avgdl"]) for r in self.stats.collect()}
+
+    def alike(self, word: str) -> list[str]:
+        """word and the words of its synonym groups."""
+        if self.synonyms is None:
+            return [word]
+        s = self.synonyms.withColumn("term", F.lower("term"))
+        own = s.filter(F.col("term") == word).select("group_id").distinct()
+        return sorted({word, *(r["term"] for r in s.join(own, "group_id", "left_semi").select("term").distinct().collect())})

@@ -1,11 +1,13 @@
 """Query trees to DataFrames of (doc_id, score), and search over records.
 
-A leaf first finds its terms in the lexicon (with weights), then joins postings; a boolean group
-unions its clauses, tags them, and aggregates once by document: one shuffle however many clauses.
+A leaf's terms are looked up in the lexicon when the plan is made: those of a query string are few, and the strings within
+two edits of a word are bounded by its length, whatever the corpus. What is planned is one scan of the postings a leaf,
+filtered by term, with the terms' weights beside it; a boolean group unions its clauses and aggregates once by document.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -62,27 +64,45 @@ def term_weight(leaf: Leaf) -> tuple[Callable[[Column], Column], Callable[[Colum
     return (lambda t: t == word), one
 
 
-def _expanded(index: Index, leaf: Leaf) -> DataFrame:
+Term = tuple[str, str, int, float]
+
+
+def _terms(index: Index, leaf: Leaf) -> list[Term]:
+    """(field, term, df, weight) of the terms of the lexicon that a term or fuzzy leaf means."""
+    fields = index.scoped(leaf.field)
+    own = index.lexicon.filter(F.col("field").isin(*fields))
+    if leaf.kind == "term" and index.synonyms is not None:
+        own = own.filter(F.col("term").isin(*index.alike((analyse(leaf.text) or [leaf.text.lower()])[0])))
+        return [(r["field"], r["term"], r["df"], 1.0) for r in own.collect()]
     match, weight = term_weight(leaf)
+    own = own.filter(match(F.col("term"))).select("field", "term", "df", weight(F.col("term")).cast("double").alias("w"))
+    return sorted(tuple(r) for r in own.collect())
+
+
+def _nothing(index: Index) -> DataFrame:
+    return index.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+
+
+def _expanded(index: Index, leaf: Leaf) -> DataFrame:
     fields = index.scoped(leaf.field)
-    found = match(F.col("term"))
-    if leaf.kind == "fuzzy":
-        # always true, but not to the optimiser: the comparison stays above the lexicon's aggregation, once a
-        # term, where it would else be pushed down, or over the join, to every token; the length alone goes down
-        n = len((analyse(leaf.text) or [leaf.text])[0])
-        found = F.length("term").between(n - 2, n + 2) & F.when(F.monotonically_increasing_id() >= 0, found)
-    lex = index.lexicon.filter(F.col("field").isin(*fields) & found).select("field", "term", "df", weight(F.col("term")).alias("w"))
-    # a cheap match is repeated on the postings, where it reaches the scan; fuzzy terms are matched in the lexicon alone
     own = F.col("field").isin(*fields)
-    if leaf.kind != "fuzzy":
-        own = own & match(F.col("term"))
-    post = index.postings.filter(own).select("doc_id", F.col("field").alias("f2"), F.col("term").alias("t2"), "tf", "dl")
-    hit = post.join(lex, (F.col("f2") == F.col("field")) & (F.col("t2") == F.col("term")))
     if leaf.kind in ("wildcard", "range"):  # constant score
+        hit = index.postings.filter(own & term_weight(leaf)[0](F.col("term")))
         return hit.groupBy("doc_id").agg(F.lit(float(leaf.boost)).alias("score"))
-    st = F.broadcast(index.stats.withColumnRenamed("field", "f3"))  # a row per field
-    hit = hit.join(st, F.col("field") == F.col("f3"))
+    found = _terms(index, leaf)
+    if not found:
+        return _nothing(index)
+    post = index.postings.filter(F.col("field").isin(*{f for f, *_ in found}) & F.col("term").isin(*{t for _, t, *_ in found})).select("doc_id", "field", "term", "tf", "dl")
+    if len(found) == 1:  # a document has one row
+        f, _, df, w = found[0]
+        s = F.lit(w * leaf.boost) * bm25(F.col("tf"), F.col("dl"), F.lit(df), *map(F.lit, index.sizes[f]))
+        return post.select("doc_id", s.alias("score"))
+    rows = [(f, t, df, w, *index.sizes[f]) for f, t, df, w in found]
+    known = index.postings.sparkSession.createDataFrame(rows, "f2 string, t2 string, df long, w double, n long, avgdl double")
+    hit = post.join(F.broadcast(known), (F.col("field") == F.col("f2")) & (F.col("term") == F.col("t2")))  # the query's own terms
     hit = hit.withColumn("s", F.col("w") * bm25(F.col("tf"), F.col("dl"), F.col("df"), F.col("n"), F.col("avgdl")))
+    if len(fields) == 1:
+        return hit.groupBy("doc_id").agg((F.sum("s") * leaf.boost).alias("score"))
     # terms of one field add up; of several fields the best counts
     return hit.groupBy("doc_id", "field").agg(F.sum("s").alias("s")).groupBy("doc_id").agg((F.max("s") * leaf.boost).alias("score"))
 
@@ -119,23 +139,24 @@ def _all(cs: list[Column]) -> Column:
 def _phrase(index: Index, leaf: Leaf) -> DataFrame:
     words = analyse(leaf.text)
     if len(words) < 2:
-        if not words:
-            return index.postings.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-        return _expanded(index, Leaf("term", words[0], leaf.field, leaf.boost))
+        return _expanded(index, Leaf("term", words[0], leaf.field, leaf.boost)) if words else _nothing(index)
     fields, terms = index.scoped(leaf.field), sorted(set(words))
     own = F.col("field").isin(*fields) & F.col("term").isin(*terms)
+    known: dict[str, float] = {}
+    for r in index.lexicon.filter(own).orderBy("field", "term").collect():  # the phrase's own words
+        n, df = index.sizes[r["field"]][0], r["df"]
+        known[r["field"]] = known.get(r["field"], 0.0) + words.count(r["term"]) * math.log(1 + (n - df + 0.5) / (df + 0.5))
+    if not known:
+        return _nothing(index)
     at = {t: i for i, t in enumerate(terms)}
     p = index.postings.filter(own).groupBy("doc_id", "field", "dl").agg(*[F.first(F.when(F.col("term") == t, F.col("pos")), ignorenulls=True).alias(f"p{i}") for t, i in at.items()])
     p = p.filter(_all([F.col(f"p{i}").isNotNull() for i in at.values()]))
     p = p.withColumn("tf", phrase_frequency([F.col(f"p{at[w]}") for w in words], leaf.slop)).filter("tf > 0")
-    st = index.stats.withColumnRenamed("field", "f3")
-    idf = index.lexicon.filter(own).join(st, F.col("field") == F.col("f3"))
-    counted = F.lit(0.0)
-    for t in terms:
-        counted = F.when(F.col("term") == t, F.lit(float(words.count(t)))).otherwise(counted)
-    idf = idf.groupBy("field").agg(F.sum(counted * F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))).alias("idf"), F.first("avgdl").alias("avgdl"))
-    p = p.join(F.broadcast(idf.withColumnRenamed("field", "f4")), F.col("field") == F.col("f4"))  # a row per field
-    s = F.col("idf") * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    by_field = F.create_map(*[x for f, idf in known.items() for x in (F.lit(f), F.struct(F.lit(idf).alias("idf"), F.lit(index.sizes[f][1]).alias("avgdl")))])
+    k = F.element_at(by_field, F.col("field"))
+    s = k["idf"] * (K1 + 1) * F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / k["avgdl"]))
+    if len(fields) == 1:
+        return p.select("doc_id", (s * leaf.boost).alias("score"))
     return p.groupBy("doc_id").agg((F.max(s) * leaf.boost).alias("score"))
 
 
@@ -174,9 +195,6 @@ def evaluate(index: Index, node: Leaf | Group) -> DataFrame:
     return g.filter("score IS NOT NULL").select("doc_id", "score")
 
 
-# --------------------------------------------------------------------------- shaping
-
-
 def sort_columns(spec: str | None) -> list[Column]:
     """Order by score without a spec, else by its fields, nulls last; ties by score and id."""
     out = []
@@ -229,7 +247,10 @@ class Result:
 
 
 def hits(index: Index, query: str, mode: Mode | None = Mode.SEARCH) -> DataFrame:
-    """Matching records with score. mode None takes the query as it stands."""
+    """Matching records with score. mode None takes the query as it stands.
+
+    Where the index has synonyms, a plain term also finds the words of its groups; fuzzy terms and phrases don't.
+    """
     node = parse(enhance_query(query, mode) if mode else query)
     found = evaluate(index, node) if node.clauses else index.records.select(F.col("_id").alias("doc_id"), F.lit(0.0).alias("score")).limit(0)
     return index.records.join(found.withColumnRenamed("doc_id", "_hit"), F.col("_id") == F.col("_hit")).drop("_hit")

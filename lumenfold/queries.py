@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import joins, lines, loaders, mutate, shaping, terms
+from .operators import joins, lines, mutate, shaping, terms
 from .plans import search as S
 from .plans.index import Index
 from .plans.rewrite import Mode
 from .schema import documents_as_records
+from .storage import shared_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,16 +38,25 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_records(table(spark, sf_dir, "documents"))
 
 
+_indexes: dict[tuple, str] = {}
+
+
 def index(spark: SparkSession, sf_dir: str, *fields: str) -> Index:
-    return Index.of(records(spark, sf_dir), fields or ("english",))
+    """The stored index over the documents: written once a session to the shared folder, opened by every query."""
+    fields = fields or ("english",)
+    r = records(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, tuple(r.inputFiles()), fields)
+    if key not in _indexes:
+        path = shared_path(spark, "index")
+        Index.of(r, fields).write(path)
+        _indexes[key] = path
+    return Index.open(spark, _indexes[key], r, fields)
 
 
 def scored(found: DataFrame) -> DataFrame:
     return found.select(F.col("_id"), F.round("score", 6).alias("score"))
 
 
-# --------------------------------------------------------------------------- SQL building blocks
-
 WORDS = r"regexp_extract_all(lower(coalesce({c}, '')), '[\p{{L}}\p{{N}}]+')"
 BASE = f"""
 r AS (SELECT CAST(doc_id AS VARCHAR) AS id, source, lang, text, {WORDS.format(c='text')} AS w FROM documents),
@@ -64,9 +74,6 @@ def term_cte(name: str, word: str, boost: float = 1.0) -> str:
     return f"{name} AS (SELECT id, {bm25_sql()} * {boost}e0 AS s FROM p JOIN lex USING (term), st WHERE term = '{word}')"
 
 
-# --------------------------------------------------------------------------- terms
-
-
 @query(
     f"""SELECT term, count(*) AS docs FROM (SELECT unnest(list_distinct({WORDS.format(c='text')})) AS term FROM documents)
 WHERE term LIKE 'th%' GROUP BY term ORDER BY docs DESC, term LIMIT 10"""
@@ -95,7 +102,7 @@ s AS (SELECT term, CAST(fg AS BIGINT) AS fg, bg, (fg / fn - bg / bn) * ((fg / fn
 @query(JLH + "SELECT term, fg, bg, round(score, 6) AS score FROM s")
 def significance_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    s = terms.significant_field(r, terms.matching_docs(r, ["thing", "ouing"]), "english")
+    s = terms.significant_field(r, terms.matches(r, ["thing", "ouing"]), "english")
     return s.withColumn("score", F.round("score", 6))
 
 
@@ -108,9 +115,6 @@ def significant_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.significant_terms(records(spark, sf_dir), ["thing", "ouing"], 5).withColumn("score", F.round("score", 6))
 
 
-# --------------------------------------------------------------------------- search
-
-
 @query(f"WITH {BASE}, a AS (SELECT id, {bm25_sql()} AS s FROM p JOIN lex USING (term), st WHERE term = 'thing') SELECT id AS _id, round(s, 6) AS score FROM a")
 def term_search_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(S.hits(index(spark, sf_dir), "thing", None))
@@ -268,11 +272,6 @@ def numeric_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.page_of(S.hits(index(spark, sf_dir), "the", None), "number:desc", per_page=500).select("rank", "_id")
 
 
-@query()
-def highlighted_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.search(index(spark, sf_dir), "thing", per_page=20).page.select("rank", "_id", "english")
-
-
 @query(
     """SELECT _id FROM (SELECT CAST(doc_id AS VARCHAR) AS _id, row_number() OVER (PARTITION BY source, lang, text ORDER BY doc_id) AS k FROM documents) WHERE k = 1"""
 )
@@ -281,9 +280,6 @@ def dedup_nine_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.ordered_distinct(r, "at").select("_id")
 
 
-# --------------------------------------------------------------------------- joins
-
-
 @query(
     """WITH b(book, blurb) AS (VALUES ('mobile', 'cars'), ('Build', 'houses'), ('HOLD', 'homes'), ('e', 'many'))
 SELECT c_custkey, blurb FROM customer JOIN b ON contains(upper(c_mktsegment), upper(book))"""
@@ -333,18 +329,6 @@ def title_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.with_titles(r, t).select("id", "title")
 
 
-@query()
-def ocr_best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each conversation's assistant turns against its user turns."""
-    c = table(spark, sf_dir, "conversations")
-    t = c.filter("role = 'assistant'").select(F.col("conv_id").alias("page"), F.col("turn").alias("text_id"), "text")
-    k = c.filter("role = 'user'").select(F.col("conv_id").alias("page"), F.col("turn").alias("idx"), F.col("text").alias("chunk"))
-    return joins.best_match(t, k)
-
-
-# --------------------------------------------------------------------------- lines
-
-
 def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     return c.select(F.col("conv_id").alias("doc"), F.lit(0).alias("page"), F.col("turn").alias("line_no"), F.col("text").alias("line"), "role")
@@ -419,9 +403,6 @@ def stop_rest_of_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.stop_rest_of_page(doc_lines(spark, sf_dir), F.col("line").contains("License")).select("doc", "line_no")
 
 
-# --------------------------------------------------------------------------- text functions
-
-
 def docs_with(spark: SparkSession, sf_dir: str, **cols: Callable) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", *[f(F.col("text")).alias(k) for k, f in cols.items()])
@@ -485,11 +466,6 @@ def strip_accents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_with(spark, sf_dir, plain=X.strip_accents)
 
 
-@query()
-def split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_with(spark, sf_dir, words=X.split_query)
-
-
 @query(
     r"""SELECT c_custkey, 'Volume ' || c_nationkey AS volume, try_cast(c_name AS DOUBLE) IS NOT NULL AS numeric_name, upper(trim(split_part(c_name, '#', 1), ' ')) AS k,
 CASE WHEN c_nationkey < 3 THEN 'Al-Usul (Principles) / أصول الكافي' WHEN c_nationkey = 8 THEN NULL ELSE 'Al-Furu'' (Jurisprudence) / فـروع الـكـافـي' END AS part FROM customer"""
@@ -505,23 +481,6 @@ def timestamp_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", X.timestamp_text(F.col("o_orderdate")).alias("at"))
 
 
-@query()
-def share_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = records(spark, sf_dir)
-    return r.select("_id", shaping.share_text(r, "https://books.example").alias("text"))
-
-
-@query()
-def numbered_book(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as pages of books, a line in three a new record."""
-    d = table(spark, sf_dir, "documents")
-    t = F.array_join(F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat((i / 3 + 1).cast("int").cast("string"), F.lit(". "), x)).otherwise(x)), "\n")
-    return loaders.numbered_book(d.select(F.col("doc_id").alias("doc"), F.lit(0).alias("page"), F.concat(F.lit("CHAPTER ONE: x\n\n"), t).alias("text")), "book")
-
-
-# --------------------------------------------------------------------------- mutation
-
-
 @query(
     """SELECT CAST(doc_id AS VARCHAR) AS _id, CASE WHEN doc_id % 5 = 0 THEN 'edited' ELSE text END AS english, source, CAST(CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END AS INTEGER) AS notes FROM documents"""
 )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +48,21 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return docs.select("doc", F.posexplode(F.split("value", "\f")).alias("page", "text"))
 
 
+def render_pages(spark: SparkSession, path: str, pages_of: Callable[[bytes], list[str]]) -> DataFrame:
+    """doc, page, text of binary documents (PDF, say): pages_of makes the texts of a file's pages of its bytes.
+
+    The reader that pages_of stands for isn't part of this package. A file is one task's row; pages leave it one by one.
+    """
+
+    def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in it:
+            for doc, content in zip(pdf["path"], pdf["content"]):
+                text = pages_of(bytes(content))
+                yield pd.DataFrame({"doc": doc, "page": range(len(text)), "text": text})
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "doc string, page int, text string")
+
+
 def ocr_text(response: str = "response"):
     """The text of an OCR service's JSON answer."""
     return F.get_json_object(response, "$.ParsedResults[0].ParsedText")

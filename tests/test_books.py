@@ -151,6 +151,46 @@ def test_patches(spark):
         mutate.apply_patches(r, p, "you", {"me"})
 
 
+def test_versions(spark, tmp_path):
+    """An edit appends what it changed, checked, and drops caches; a refused one leaves no trace."""
+    t = datetime.datetime
+    v = mutate.Versions(spark, str(tmp_path / "v"))
+    v.append(spark.createDataFrame([("1", "a", "s"), ("2", "b", "s")], "_id string, english string, source string"))
+
+    class Counting:
+        n = 0
+
+        def clear(self):
+            self.n += 1
+
+    cache = Counting()
+    p = spark.createDataFrame([("1", "x", t(2020, 1, 1)), ("9", "y", t(2020, 1, 1))], "_id string, english string, at timestamp")
+    with pytest.raises(PermissionError):
+        v.edit(p, "you", {"me"}, [cache])
+    assert cache.n == 0 and v.all().count() == 2
+    v.edit(p, "me", {"me"}, [cache])
+    v.edit(p.withColumn("english", F.lit("z")), "me", caches=[cache])
+    got = {r._id: r for r in v.latest().collect()}
+    assert cache.n == 2 and v.all().count() == 4
+    assert (got["1"].english, got["1"].source, got["1"].version, len(got["1"].history)) == ("z", "s", 2, 2)
+    assert (got["2"].english, got["2"].version) == ("b", 0)
+
+
+def test_render_pages(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one|two")
+    (tmp_path / "b.bin").write_bytes(b"three")
+    got = books.render_pages(spark, str(tmp_path), lambda b: b.decode().split("|")).orderBy("doc", "page").collect()
+    assert [(r.doc[-5:], r.page, r.text) for r in got] == [("a.bin", 0, "one"), ("a.bin", 1, "two"), ("b.bin", 0, "three")]
+
+
+def test_same_as_chain(spark):
+    """Chains of any length end at their text; a name that nothing above has stays."""
+    rows = [("c", str(i), i, "text" if i == 0 else f"Same as no. {i - 1}") for i in range(40)] + [("c", "99", 99, "Same as no. 100."), ("c", "100", 100, "late"), (None, "1", 200, "own"), (None, "2", 201, "Same as no. 1")]
+    d = spark.createDataFrame(rows, "chapter string, number string, pos int, english string")
+    got = {r.pos: r.english for r in joins.resolve_same_as(d).collect()}
+    assert all(got[i] == "text" for i in range(40)) and got[99] == "Same as no. 100." and got[201] == "own"
+
+
 def test_changed_fields(spark):
     d = spark.createDataFrame([(("a", ["x", "y"], None), ("b", ["y", "x"], "n"))], "o struct<book:string,tags:array<string>,notes:string>, n struct<book:string,tags:array<string>,notes:string>")
     assert d.select(mutate.changed_fields(F.col("o"), F.col("n"), ["book", "tags", "notes"]).alias("c")).first().c == ["book"]

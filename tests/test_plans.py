@@ -189,6 +189,51 @@ def test_terms(index):
     assert "pledge" not in {x.term for x in got}
 
 
+def test_synonyms(index, spark):
+    syn = spark.createDataFrame([(1, "Pledge"), (1, "hijrah"), (2, "kitab"), (2, "bab")], "group_id long, term string")
+    w = index.with_synonyms(syn)
+    assert ids(w, "pledge") == ["1", "2", "3", "4"] and ids(w, "HIJRAH") == ["1", "2", "3", "4"]
+    assert ids(w, "book:bab") == ["1", "2", "3", "4", "5", "6"]
+    assert ids(w, "allegiance") == ids(index, "allegiance") and ids(w, "hijrah -pledge") == []
+    assert ids(w, "nowhere") == []
+
+
+def test_best_field(index):
+    """A term counts in the field where it scores best, not in all of them."""
+    both = {r._id: r.score for r in S.hits(index, "kitab", None).collect()}
+    one = {r._id: r.score for r in S.hits(index, "book:kitab", None).collect()}
+    assert both == one
+
+
+def test_term_cache(index):
+    now = [0.0]
+    c = terms.TermCache(size=2, ttl=10, clock=lambda: now[0])
+    made = []
+
+    def top(p):
+        made.append(p)
+        return terms.top_terms(index.records, p)
+
+    first = c.get(("top", "pl"), lambda: top("pl"))
+    assert c.get(("top", "pl"), lambda: top("pl")) == first and made == ["pl"]
+    c.get(("top", "al"), lambda: top("al"))
+    c.get(("top", "hi"), lambda: top("hi"))  # the least used goes: al
+    c.get(("top", "pl"), lambda: top("pl"))
+    assert made == ["pl", "al", "hi"]
+    now[0] = 11.0
+    c.get(("top", "pl"), lambda: top("pl"))
+    c.clear()
+    c.get(("top", "pl"), lambda: top("pl"))
+    assert made == ["pl", "al", "hi", "pl", "pl"]
+
+
+def test_significance_is_one_aggregation(index):
+    plan = terms.significant_field(index.records, terms.matches(index.records, ["pledge"]), "english")
+    plan.collect()
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "ReusedExchange" in text.split("Initial Plan")[0]
+
+
 def test_json(index):
     import json
 

@@ -1,5 +1,6 @@
 import pytest
 
+from lumenfold import book_queries  # noqa: F401
 from lumenfold import queries as Q
 from tests.oracle import assert_same
 
