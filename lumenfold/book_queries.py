@@ -72,7 +72,7 @@ _MARK = "CASE WHEN length(x) BETWEEN 4 AND 6 AND damerau_levenshtein(lower(x), '
 f AS (SELECT term, df, 1 - damerau_levenshtein(term, 'thing') / CAST(greatest(1, least(length(term), 5)) AS DOUBLE) AS w
       FROM lex WHERE length(term) BETWEEN 4 AND 6 AND damerau_levenshtein(term, 'thing') <= 1),
 s AS (SELECT id, sum(w * {bm25_sql()}) AS s FROM p JOIN f USING (term), st GROUP BY id),
-k AS (SELECT CAST(row_number() OVER (ORDER BY s DESC, id) AS INTEGER) AS rank, id FROM s ORDER BY s DESC, id LIMIT 20)
+k AS (SELECT CAST(row_number() OVER (ORDER BY round(s, 9) DESC, id) AS INTEGER) AS rank, id FROM s ORDER BY round(s, 9) DESC, id LIMIT 20)
 SELECT rank, id AS _id, array_to_string([{_MARK} FOR x IN regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+')], '') AS english
 FROM k JOIN r USING (id)"""
 )

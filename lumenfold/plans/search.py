@@ -196,12 +196,15 @@ def evaluate(index: Index, node: Leaf | Group) -> DataFrame:
 
 
 def sort_columns(spec: str | None) -> list[Column]:
-    """Order by score without a spec, else by its fields, nulls last; ties by score and id."""
+    """Order by score without a spec, else by its fields, nulls last; ties by score and id.
+
+    Sums of floats depend on their order from the tenth digit on, so scores that differ by less are equal.
+    """
     out = []
     for field, ascending, numeric in parse_sort(spec):
         c = F.col(field).try_cast("int") if numeric else F.col(field)
         out.append(c.asc_nulls_last() if ascending else c.desc_nulls_last())
-    return [*out, F.desc("score"), F.asc("_id")]
+    return [*out, F.round("score", 9).desc(), F.asc("_id")]
 
 
 def page_of(hits: DataFrame, spec: str | None = None, page: int = 1, per_page: int = 20) -> DataFrame:
