@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -12,7 +9,9 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from ..storage import shared_path, written  # noqa: F401  operators take them from here
+
 
 def fresh(df: DataFrame, *names: str) -> list[str]:
     """Names for helper columns that clash with no column of df (case-insensitively)."""
@@ -39,41 +38,6 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-_made: list[tuple[SparkSession, str]] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: spark.checkpoint.dir as the cluster set it.
-
-    Where it is unset a folder of the machine is used, which only local mode allows.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if path:
-        return path.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own:
-        return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="lumenfold-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at durable files."""
-    spark = df.sparkSession
-    path = shared_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def default_uri(spark: SparkSession) -> str:
     """The file system that paths without a scheme belong to."""
     return spark.sparkContext._jvm.org.apache.hadoop.fs.FileSystem.getDefaultUri(spark.sparkContext._jsc.hadoopConfiguration()).toString()
@@ -97,21 +61,6 @@ def part_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _made:
-        try:
-            discard(spark, path)
-        except Exception:  # the session has gone: the cluster's own clean-up applies
-            return
-
-
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)

@@ -198,7 +198,8 @@ def _placed(units: DataFrame, shard_tokens: int) -> DataFrame:
     """
     spark = units.sparkSession
     order = ("doc_id", "first", "digest")
-    ranged = units.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "sizes", "ends", "hard")
+    # finding the ranges reads the rows once more: from the file, not from the texts
+    ranged = written(units, "pack-lengths").repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "sizes", "ends", "hard")
     own = [T.StructField(c, T.LongType()) for c in ("part", "nth", "above", "tokens")]
     ranged = ranged.mapInArrow(_running, T.StructType([*ranged.schema.fields, *own]))
     ranged = written(ranged, "pack-units")

@@ -28,11 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import fold, fresh, id_type, mix, quoted, text_chunks, word_hashes, words, written
+from .common import default_uri, fold, fresh, id_type, mix, open_uri, shared_path, text_chunks, word_hashes, words, written
 
 RADIUS, RATIO, TILE, BLOCK = 20, 0.8, 32768, 512
 
@@ -223,9 +225,11 @@ def components(links: DataFrame) -> DataFrame:
     return out
 
 
-def _members(docs: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame:
-    """doc_id, f0, f1, size, group_id, n_links, kept of the members of groups: a row for each (doc_id, fingerprint) of several."""
-    f = written(document_fingerprints(docs).filter("doc_id IS NOT NULL AND size > 0").distinct(), "simhash-prints")
+def _classes(f: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame:
+    """f0, f1, size, n_links, best (doc_id, f0, f1, size of the text that is kept) of the fingerprints in groups of several documents.
+
+    f has a row for each (doc_id, f0, f1, size).
+    """
     # an entry's number is fixed by being written
     entries = f.groupBy("f0", "f1", "size").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     entries = written(entries.withColumn("id", F.monotonically_increasing_id()), "simhash-entries")
@@ -237,10 +241,11 @@ def _members(docs: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame
     e = written(e.select("f0", "f1", "size", "root", "least", "n", (F.coalesce("far", F.lit(0)) + F.col("n") - 1).alias("n_links")), "simhash-classes")
     # of several texts of the least doc_id one is kept: the one of the least fingerprint
     groups = e.groupBy("root").agg(F.sum("n").alias("members"), F.min(F.struct("least", "f0", "f1", "size")).alias("best")).filter("members > 1")
-    e = e.join(groups.withColumnRenamed("root", "r2"), F.col("root") == F.col("r2")).select("f0", "f1", "size", "n_links", "best")
-    m = f.join(e, ["f0", "f1", "size"])
-    kept = (F.col("doc_id") == F.col("best.least")) & (F.struct("f0", "f1", "size") == F.struct("best.f0", "best.f1", "best.size"))
-    return m.select("doc_id", "f0", "f1", "size", F.col("best.least").alias("group_id"), "n_links", kept.alias("kept"))
+    return e.join(groups.withColumnRenamed("root", "r2"), F.col("root") == F.col("r2")).select("f0", "f1", "size", "n_links", "best")
+
+
+def _kept() -> Column:
+    return (F.col("doc_id") == F.col("best.least")) & (F.struct("f0", "f1", "size") == F.struct("best.f0", "best.f1", "best.size"))
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tile: int = TILE) -> DataFrame:
@@ -253,41 +258,70 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO,
     with its row. Of several texts of the least doc_id the one of the least fingerprint is kept. An empty table gives
     no rows.
     """
-    return _members(docs, radius, ratio, tile).select("doc_id", "group_id", "n_links", "kept")
+    f = written(document_fingerprints(docs).filter("doc_id IS NOT NULL AND size > 0").distinct(), "simhash-prints")
+    m = f.join(_classes(f, radius, ratio, tile), ["f0", "f1", "size"])
+    return m.select("doc_id", F.col("best.least").alias("group_id"), "n_links", _kept().alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = RATIO, tile: int = TILE) -> DataFrame:
     """docs, with all their columns, with one document of each group.
 
     Which rows are documents and which is kept: see near_duplicates. Of rows that repeat a doc_id and fingerprint the
-    least by text stays (nulls and other columns break ties). Different texts that share a doc_id are no copies of one
-    another and both stay. Rows of a null doc_id and texts without a word stay as they are. An empty table gives no rows.
+    first in its file stays. Different texts that share a doc_id are no copies of one another and both stay. Rows of a null
+    doc_id and texts without a word stay as they are. An empty table gives no rows.
+
+    Rows are known by their place, a file and a number in it, so docs is read from files: as it is where it comes from
+    Parquet, else written first. Texts are read twice and never shuffled: the places to drop are laid out by file, and
+    a task reads those of the files it scans.
     """
-    members = written(_members(docs, radius, ratio, tile), "simhash-members")
-    again = docs.filter(docs["doc_id"].isNotNull()).groupBy(docs["doc_id"].alias("again_id")).count().filter("count > 1").select("again_id")
-    again = written(again, "simhash-again")
-    key, lost = fresh(docs, "dropped_id", "again_id")
-    again = again.select(F.col("again_id").alias(lost))
-    gone = members.filter("NOT kept").select(F.col("doc_id").alias(key)).distinct()
-    if again.isEmpty():
-        return docs.join(gone, docs["doc_id"] == F.col(key), "left_anti")
-    # Only rows of a repeated doc_id need their fingerprints again, to tell which of the id's texts is meant.
-    many = docs.join(again, docs["doc_id"] == F.col(lost), "left_semi")
-    once = docs.join(again, docs["doc_id"] == F.col(lost), "left_anti").join(gone, docs["doc_id"] == F.col(key), "left_anti")
-    return once.unionByName(_thinned(many, members))
-
-
-def _thinned(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Of rows that repeat a doc_id and fingerprint one, unless the members say that it goes; rows without a word stay."""
-    row, f0, f1, size, rank = fresh(docs, "own_row", "print_0", "print_1", "print_size", "print_rank")
-    whole = F.struct(*[F.col(quoted(c)).alias(f"c{i}") for i, c in enumerate(docs.columns)])
-    at = docs.columns.index("text")
-    d = docs.select(whole.alias("doc_id"), docs["text"].alias("text"))
-    p = document_fingerprints(d).select(F.col("doc_id").alias(row), F.col("f0").alias(f0), F.col("f1").alias(f1), F.col("size").alias(size))
-    i = docs.columns.index("doc_id")
-    mine = F.col(f"{row}.c{i}")
-    by = Window.partitionBy(mine, f0, f1, size).orderBy(F.col(f"{row}.c{at}"), *[F.col(f"{row}.c{j}").asc_nulls_last() for j, f in enumerate(docs.schema) if j != at and not f.dataType.simpleString().startswith("map")])
-    p = p.withColumn(rank, F.when(F.col(size) > 0, F.row_number().over(by)).otherwise(1)).filter(F.col(rank) == 1)
-    gone = members.filter("NOT kept").select(F.col("doc_id").alias("g_id"), F.col("f0").alias("g0"), F.col("f1").alias("g1"), F.col("size").alias("gs"))
-    p = p.join(gone, (mine == F.col("g_id")) & (F.col(f0) == F.col("g0")) & (F.col(f1) == F.col("g1")) & (F.col(size) == F.col("gs")), "left_anti")
-    return p.select(*[F.col(f"{row}.c{j}").alias(c) for j, c in enumerate(docs.columns)])
+    spark = docs.sparkSession
+    file, row = fresh(docs, "own_file", "own_row")
+    placed = _placed(docs, file, row)
+    d = placed.select(F.struct(placed["doc_id"].alias("doc_id"), F.col(file).alias("file"), F.col(row).alias("row")).alias("doc_id"), placed["text"].alias("text"))
+    f = document_fingerprints(d).filter("doc_id.doc_id IS NOT NULL AND size > 0").select("doc_id.doc_id", "doc_id.file", "doc_id.row", "f0", "f1", "size")
+    f = written(f, "simhash-prints")
+    # the first place of each document stands for it
+    one = written(f.groupBy("doc_id", "f0", "f1", "size").agg(F.min(F.struct("file", "row")).alias("first")), "simhash-documents")
+    lost = one.join(_classes(one.select("doc_id", "f0", "f1", "size"), radius, ratio, tile), ["f0", "f1", "size"]).filter(~_kept())
+    gone = lost.select("first.file", "first.row")
+    again = one.join(f.groupBy("doc_id", "f0", "f1", "size").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1"), ["doc_id", "f0", "f1", "size"]).drop("rows")
+    more = f.join(again, ["doc_id", "f0", "f1", "size"]).filter(F.struct("file", "row") != F.col("first")).select("file", "row")
+    path = shared_path(spark, "simhash-gone")
+    gone.unionByName(more).repartition("file").sortWithinPartitions("file", "row").write.partitionBy("file").parquet(path)
+    default, names = default_uri(spark), docs.columns
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, np.ndarray] = {}
+        for b in it:
+            where, at = b.column(len(names)), b.column(len(names) + 1).to_numpy()
+            keep = np.ones(len(b), bool)
+            for name in where.unique().to_pylist():
+                if name not in known:
+                    known.clear()
+                    known[name] = _gone_rows(path, name, default)
+                own = where.to_numpy(False) == name
+                keep[own] = ~np.isin(at[own], known[name])
+            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep))
+
+    return placed.mapInArrow(run, docs.schema)
+
+
+def _placed(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """docs with each row's file (a digest of its path) and its number in it."""
+    for d in (docs, None):
+        d = written(docs, "simhash-input") if d is None else d
+        try:
+            at = d.metadataColumn("_metadata")
+            return d.select("*", F.concat_ws("-", F.xxhash64(at["file_path"]).cast("string"), F.hash(at["file_path"]).cast("string")).alias(file), at["row_index"].alias(row))
+        except AnalysisException:  # no plain scan of Parquet files
+            if d is not docs:
+                raise
+    raise AssertionError
+
+
+def _gone_rows(path: str, name: str, default: str) -> np.ndarray:
+    """The numbers of the rows to drop of one file."""
+    system, root = open_uri(f"{path}/file={name}", default)
+    files = [f.path for f in system.get_file_info(fs.FileSelector(root, allow_not_found=True)) if f.path.endswith(".parquet")]
+    rows = [pq.read_table(f, filesystem=system, partitioning=None, columns=["row"])["row"].to_numpy() for f in files]
+    return np.concatenate(rows) if rows else np.zeros(0, np.int64)

@@ -272,10 +272,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     d = written(_sample(docs, labels, sample_rows), "toxic-sample")
     sizes = {r["toxic"]: r["n"] for r in d.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad = d.filter("toxic > 0").select(_words("text").alias("w"))
-    # a row for each word of a document, and one for each pair of it and a word before it
+    # a row for each word of a document, and one for each time that it stands after a word
     pairs = F.arrays_zip(F.col("w").alias("term"), F.concat(F.array(F.lit("")), "w").alias("before"))
     alone = F.transform(F.array_distinct("w"), lambda x: F.struct(x.alias("term"), F.lit(None).cast("string").alias("before")))
-    bad = bad.select(F.explode(F.concat(alone, F.array_distinct(F.filter(pairs, lambda x: x["term"].isNotNull())))).alias("x"))
+    bad = bad.select(F.explode(F.concat(alone, F.filter(pairs, lambda x: x["term"].isNotNull()))).alias("x"))
     bad = bad.groupBy(F.col("x.term").alias("term"), F.col("x.before").alias("before")).agg(F.count(F.lit(1)).alias("rows"))
     bad = bad.groupBy("term").agg(F.sum(F.when(F.col("before").isNull(), F.col("rows"))).alias("n"), F.count("before").alias("contexts"))
     bad = written(bad.filter("n >= 2 AND contexts >= 2"), "toxic-terms")
