@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_uri, fold, fresh, id_type, mix, open_uri, shared_path, text_chunks, word_hashes, words, written
+from .common import default_uri, fold, fresh, id_type, mapped, mix, open_uri, shared_path, text_chunks, word_hashes, words, written
 
 RADIUS, RATIO, TILE, BLOCK = 20, 0.8, 32768, 512
 
@@ -82,7 +82,7 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, f0, f1, size (distinct words) for every row; all 0 where there is no word."""
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    return d.mapInArrow(_scan, f"doc_id {id_type(docs)}, f0 long, f1 long, size int")
+    return mapped(d, _scan, f"doc_id {id_type(docs)}, f0 long, f1 long, size int")
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -303,7 +303,7 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = R
                 keep[own] = ~np.isin(at[own], known[name])
             yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep))
 
-    return placed.mapInArrow(run, docs.schema)
+    return mapped(placed, run, docs.schema)
 
 
 def _placed(docs: DataFrame, file: str, row: str) -> DataFrame:

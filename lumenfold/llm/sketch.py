@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fold, id_type, mix, text_chunks, word_hashes, words, written
+from .common import fold, id_type, mapped, mix, text_chunks, word_hashes, words, written
 
 K, SHINGLE = 128, 5
 _A = np.uint64(0xD6E8FEB86659FD93)
@@ -61,7 +61,7 @@ def sketch_documents(docs: DataFrame, k: int = K, width: int = SHINGLE) -> DataF
             yield pa.record_batch([b.column(0), pa.array(size, pa.int64()), lists], names=["doc_id", "n_shingles", "sketch"])
 
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    out = d.mapInArrow(run, f"doc_id {id_type(docs)}, n_shingles long, sketch array<long>")
+    out = mapped(d, run, f"doc_id {id_type(docs)}, n_shingles long, sketch array<long>")
     return out.withColumn("distinct_shingles", distinct_count(F.col("sketch"), k))
 
 

@@ -32,7 +32,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import default_uri, id_type, open_uri, shared_path, written
+from .common import default_uri, id_type, mapped, open_uri, shared_path, written
 
 MAGIC, GZIP = b"WARC/1.", b"\x1f\x8b\x08"
 SPLIT, HEADER, READ = 16 << 20, 64 << 10, 1 << 20
@@ -110,7 +110,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
             system.delete_file(own)
 
     p = pages.select(pages["page_id"].alias("page_id"), pages["url"].alias("url"), pages["html"].alias("html"))
-    return written(p.mapInArrow(run, "path string, bytes long, records long"), "warc-files")
+    return written(mapped(p, run, "path string, bytes long, records long"), "warc-files")
 
 
 def archive_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -257,7 +257,7 @@ def chain_edges(files: DataFrame, split: int = SPLIT) -> DataFrame:
                 yield pa.record_batch([pa.array([path] * n, pa.string()), pa.array([size] * n, pa.int64()), pa.array([start] * n, pa.int64()), pa.array(found.keys(), pa.int64()), pa.array(found.values(), pa.int64())], names=["path", "bytes", "start", "off", "exit"])
 
     s = _splits(files, split).repartition(_tasks(files, split), "path", "start")
-    return s.mapInArrow(run, "path string, bytes long, start long, off long, exit long")
+    return mapped(s, run, "path string, bytes long, start long, off long, exit long")
 
 
 def entries(edges: DataFrame) -> DataFrame:
@@ -317,7 +317,7 @@ def read_archives(files: DataFrame, split: int = SPLIT) -> DataFrame:
                     yield _batch(rows)
 
     starts = entries(chain_edges(files, split)).repartition(_tasks(files, split), "path", "start")
-    return starts.mapInArrow(run, "path string, off long, type string, record_id string, url string, html string")
+    return mapped(starts, run, "path string, off long, type string, record_id string, url string, html string")
 
 
 def _plain(f, off: int, size: int) -> tuple[list[tuple[bytes, bytes]], int | None]:
