@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
 
 import numpy as np
@@ -61,6 +62,39 @@ def part_files(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().toString() for f in found if f.getPath().getName().startswith("part-"))
 
 
+def _lean() -> None:
+    """Let this worker's C library take each array of MAPPED bytes or more from the system and return it as soon as it is freed."""
+    try:
+        ctypes.CDLL(None).mallopt(-3, MAPPED)  # M_MMAP_THRESHOLD
+    except (AttributeError, OSError):  # no such call in this C library
+        return
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task would keep it, beside those that work."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        return
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow, in a worker that keeps no freed memory."""
+
+    def all_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _lean()
+        try:
+            yield from run(it)
+        finally:
+            give_back()
+
+    return all_of
+
+
+#: Bytes from which an array is mapped on its own.
+MAPPED = 1 << 20
+
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)

@@ -4,7 +4,9 @@ import gzip
 import itertools
 import math
 import random
-from collections import defaultdict
+import resource
+import tracemalloc
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lumenfold.llm import hilbert, lm, packing, sketch, warc
 from lumenfold.llm import queries as Q
-from lumenfold.llm.common import fold, load, text_chunks, word_hashes, words
+from lumenfold.llm.common import fold, load, text_chunks, tidy, word_hashes, words
 
 
 @settings(max_examples=60, deadline=None)
@@ -139,6 +141,66 @@ def test_lm_repeats_stand_apart(spark):
     assert max(twice) < sorted(once)[len(once) // 10]
 
 
+def _peak(f):
+    """What f() gives, and the most bytes that numpy held meanwhile."""
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def _random_texts(n, size):
+    rng = np.random.default_rng(5)
+    return pa.array([rng.integers(97, 123, size, np.uint8).tobytes().decode() for _ in range(n)])
+
+
+def test_lm_count_memory(monkeypatch):
+    """A task merges its grams in two thirds of what arrays over all of them at once take, and to the same counts."""
+    monkeypatch.setattr(lm, "_FLUSH", 1 << 19)
+    monkeypatch.setattr(lm, "CHUNK", 1 << 17)
+    texts = _random_texts(14, 1 << 16)
+    got, peak = _peak(lambda: [pa.Table.from_batches([x]) for x in lm._count([pa.record_batch([texts], names=["text"])])])
+    assert peak < 60 * (1 << 19)
+    counts = Counter()
+    for t in got:
+        for g, n in zip(t["gram"].to_pylist(), t["n"].to_pylist()):
+            counts[g] += n
+    want = Counter(g for _, data, off in text_chunks(texts) for g in lm.grams(data, off).astype(np.int64).tolist())
+    assert counts == want
+
+
+def test_lm_grams_memory():
+    """Grams take two words a byte, and their places in order less than five."""
+    data, off = np.random.default_rng(3).integers(97, 123, 1 << 18, np.uint8), np.array([0, 1 << 18])
+    g, peak = _peak(lambda: lm.grams(data, off))
+    assert peak < 20 * len(data)
+    (k, at), peak = _peak(lambda: lm._ranked(g))
+    assert peak < 40 * len(data)
+    assert (k[at] == g).all() and (k[1:] > k[:-1]).all()
+
+
+def test_worker_gives_back():
+    """What a task has freed doesn't stay with its worker."""
+
+    def rss():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    def run(it):
+        for b in it:
+            held = [np.ones(1 << 15) for _ in range(400)]
+            keep.append(np.ones(1 << 10))  # stands above what is freed
+            del held
+            yield b
+
+    keep, b = [], pa.record_batch([pa.array([1])], names=["x"])
+    assert list(tidy(run)([b])) == [b]
+    before = rss()
+    assert list(tidy(run)([b] * 3)) == [b] * 3
+    assert rss() < before + (20 << 20)
+
+
 def test_lm_odd(odd, none):
     assert lm.score_documents(odd).count() == odd.count()
     assert lm.score_documents(none).count() == 0
