@@ -92,8 +92,40 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     return all_of
 
 
-#: Bytes from which an array is mapped on its own.
-MAPPED = 1 << 20
+def tidy_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """tidy for applyInArrow over groups."""
+
+    def one(table: pa.Table) -> pa.Table:
+        _lean()
+        try:
+            return run(table)
+        finally:
+            give_back()
+
+    return one
+
+
+def tidy_cogroup(run: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """tidy for applyInArrow over pairs of groups."""
+
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        _lean()
+        try:
+            return run(left, right)
+        finally:
+            give_back()
+
+    return two
+
+
+def kept(b: pa.RecordBatch, keep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of b that keep marks, of PIECE rows at a time: a whole batch is as large as its texts, and is copied on its way."""
+    for i in range(0, len(b), PIECE):
+        yield b.slice(i, PIECE).filter(pa.array(keep[i : i + PIECE]))
+
+
+#: Bytes from which an array is mapped on its own; rows of a batch that are sent back together.
+MAPPED, PIECE = 1 << 20, 1024
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15

@@ -34,7 +34,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import default_uri, fold, fresh, id_type, mix, open_uri, shared_path, text_chunks, word_hashes, words, written
+from .common import default_uri, fold, fresh, id_type, kept, mix, open_uri, shared_path, text_chunks, tidy, tidy_cogroup, word_hashes, words, written
 
 RADIUS, RATIO, TILE, BLOCK = 20, 0.8, 32768, 512
 
@@ -82,7 +82,7 @@ def _scan(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, f0, f1, size (distinct words) for every row; all 0 where there is no word."""
     d = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"))
-    return d.mapInArrow(_scan, f"doc_id {id_type(docs)}, f0 long, f1 long, size int")
+    return d.mapInArrow(tidy(_scan), f"doc_id {id_type(docs)}, f0 long, f1 long, size int")
 
 
 def close_pairs(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, radius: int, ratio: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -192,7 +192,7 @@ def edges(entries: DataFrame, radius: int, ratio: float, tile: int) -> DataFrame
     other = pairs.filter((F.col("xc") != F.col("yc")) | (F.col("xt") != F.col("yt")))
     right = tiled.join(other, (F.col("cls") == F.col("yc")) & (F.col("t") == F.col("yt")))
     right = right.select(*[F.col(c).alias(c) for c in ("pair", "id", "f0", "f1", "size", "n", "pc")])
-    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(_tile_edges(radius, ratio), "a long, b long, n long")
+    return left.groupBy("pair").cogroup(right.groupBy("pair")).applyInArrow(tidy_cogroup(_tile_edges(radius, ratio)), "a long, b long, n long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -301,9 +301,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, ratio: float = R
                     known[name] = _gone_rows(path, name, default)
                 own = where.to_numpy(False) == name
                 keep[own] = ~np.isin(at[own], known[name])
-            yield pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names).filter(pa.array(keep))
+            yield from kept(pa.RecordBatch.from_arrays(b.columns[: len(names)], names=names), keep)
 
-    return placed.mapInArrow(run, docs.schema)
+    return placed.mapInArrow(tidy(run), docs.schema)
 
 
 def _placed(docs: DataFrame, file: str, row: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_type, written
+from .common import id_type, kept, tidy, written
 
 ABUSE = tuple(
     "idiot idiots moron morons imbecile cretin dumbass asshole bitch retard dickhead shithead fuck fucker "
@@ -306,7 +306,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             seen = {form for _, _, found in text_hits(b.column(0).to_pylist(), sent.value) for _, form, edits in found if edits}
             yield pa.record_batch([pa.array(sorted(seen), pa.string())], names=["form"])
 
-    clean = d.filter("toxic = 0").select("text").mapInArrow(forms, "form string").distinct()
+    clean = d.filter("toxic = 0").select("text").mapInArrow(tidy(forms), "form string").distinct()
     return Lexicon(lex.terms, lex.edits, frozenset(r["form"] for r in clean.collect()))
 
 
@@ -383,7 +383,7 @@ def score_toxicity(docs: DataFrame, lex: Lexicon) -> DataFrame:
                     names=["doc_id", "score", "n_hits", "terms"],
                 )
 
-    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(run, f"doc_id {id_type(docs)}, {HITS}")
+    return docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text")).mapInArrow(tidy(run), f"doc_id {id_type(docs)}, {HITS}")
 
 
 def toxic_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -407,6 +407,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
         for b in it:
             keep = np.ones(len(b), bool)
             keep[[i for i, x, _ in text_hits(b.column(at).to_pylist(), sent.value) if x >= threshold]] = False
-            yield b.filter(pa.array(keep))
+            yield from kept(b, keep)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lumenfold.llm import mixing, packing, quality, simhash, toxicity
+from lumenfold.llm import common, mixing, packing, quality, simhash, toxicity
 from lumenfold.llm.common import load
 
 
@@ -360,3 +360,13 @@ def test_stages_odd(spark, sf_dir, odd, none, stage):
     out = stage[1](spark, odd, sf_dir)
     assert out.count() > 0 and (stage[0] == "packing" or out.columns == odd.columns)
     assert stage[1](spark, none, sf_dir).count() == 0
+
+
+def test_kept_rows_go_in_pieces():
+    """The rows that stay are the marked ones in order, and no batch that is sent back is as long as the one that came."""
+    b = pa.record_batch([pa.array(range(5000)), pa.array([None, "a"] * 2500)], names=["doc_id", "text"])
+    keep = np.arange(5000) % 3 > 0
+    parts = list(common.kept(b, keep))
+    assert max(map(len, parts)) <= common.PIECE
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([b.filter(pa.array(keep))]))
+    assert list(common.kept(b.slice(0, 0), keep[:0])) == []
